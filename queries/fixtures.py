@@ -65,9 +65,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _sql_replace(expr: str, changes) -> str:
     for old, new in changes:
-        expr = f"replace({expr}, '{old}', '{new}')"
+        expr = f"replace({expr}, {quoted(old)}, {quoted(new)})"
     return expr
 
 
@@ -78,3 +82,113 @@ PAIRS_SQL = f"""
     {_sql_replace(f"CASE WHEN contains(line, '{MISSING}') THEN replace(line, '{MISSING}', '{MISSING}quite ') ELSE line END", CONFUSED + WRONG_REPAIR)} AS hyp_text
   FROM ({LINES_SQL})
 """
+
+
+# Words turned into clitics and abbreviations, which the prose does not have.
+CLITICS = (
+    (" of ", " don't "), (" to ", " they're "), (" is ", " Laura's "), (" it ", " I'm "),
+    (" by ", " we've "), (" for ", " we'll "), (" on ", " years' "), (" with ", " etc. "),
+    (" that ", " Mr. "), (" this ", " U.S.A. "), (" are ", " Wait... "), (" le ", " 3.14 "),
+    (" la ", " 3:30 "),
+)
+
+
+def clitics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("sent_id", replace_all(F.col("line"), CLITICS).alias("text"))
+
+
+CLITICS_SQL = f"SELECT sent_id, {_sql_replace('line', CLITICS)} AS text FROM ({LINES_SQL})"
+
+LEFT_PAD, RIGHT_PAD = "\t\u00a0 ", " \u2003\n\u3000"
+
+
+def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with whitespace of several kinds at both ends."""
+    text = F.concat(F.lit(LEFT_PAD), F.col("text"), F.lit(RIGHT_PAD))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+PADDED_SQL = (
+    "SELECT doc_id, chr(9) || chr(160) || ' ' || text || ' ' || chr(8195) || chr(10) || chr(12288) AS text "
+    "FROM documents"
+)
+
+
+def multi_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns with the other turns as corrections, plus a blank and an identical one."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
+    )
+    texts = F.transform("turns", lambda t: t["text"])
+    first = F.element_at(texts, 1)
+    extra = F.array(F.lit(" \t"), F.concat(first, F.lit(" ")))
+    rest = F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0)))
+    return turns.select(
+        F.col("conv_id").alias("sent_id"), first.alias("sentence"), F.concat(rest, extra).alias("corrections")
+    )
+
+
+MULTI_REFS_SQL = """
+  SELECT conv_id AS sent_id, texts[1] AS sentence,
+         list_concat(texts[2:], [' ' || chr(9), texts[1] || ' ']) AS corrections
+  FROM (SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id)
+"""
+
+
+def char_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with four character edits; French ones with none."""
+    n = F.length("text")
+    at = lambda num, den, plus=0: F.floor(n * num / den).cast("int") + plus
+    none = F.array().cast("array<int>")
+    edited = F.col("lang") != "fr"
+    when = lambda filled, empty: F.when(edited, filled).otherwise(empty)
+    null = F.lit(None).cast("string")
+    edits = F.struct(
+        when(F.array(at(1, 4), at(1, 2), at(3, 4), at(3, 4)), none).alias("start"),
+        when(F.array(at(1, 4, 3), at(1, 2, 2), at(3, 4), at(3, 4, 1)), none).alias("end"),
+        when(
+            F.array(F.lit("XX "), null, F.lit(" \U0001f600 "), F.lit("")), F.array().cast("array<string>")
+        ).alias("text"),
+    )
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent_id"), "text", edits.alias("edits"))
+
+
+CHAR_EDITS_SQL = """
+  SELECT doc_id AS sent_id, text,
+    CASE WHEN lang <> 'fr' THEN [
+      {'s': length(text) // 4, 'e': length(text) // 4 + 3, 't': 'XX '},
+      {'s': length(text) // 2, 'e': length(text) // 2 + 2, 't': NULL},
+      {'s': length(text) * 3 // 4, 'e': length(text) * 3 // 4, 't': ' ' || chr(128512) || ' '},
+      {'s': length(text) * 3 // 4, 'e': length(text) * 3 // 4 + 1, 't': ''}] ELSE [] END AS edits
+  FROM documents
+"""
+
+# Word endings swapped, position by position.
+ENDINGS = (("ing ", "ed "), ("es ", "e "))
+
+
+def inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against the same lines with other word endings."""
+    return lines(spark, sf_dir).select(
+        "sent_id", replace_all(F.col("line"), ENDINGS).alias("input_text"), F.col("line").alias("target_text")
+    )
+
+
+INFLECTED_SQL = f"""
+  SELECT sent_id, {_sql_replace('line', ENDINGS)} AS input_text, line AS target_text FROM ({LINES_SQL})
+"""
+
+
+def token_features(tokens_by_side: DataFrame) -> DataFrame:
+    """Part of speech and lemma guessed from word endings: (sent_id, side, tok_no, token) in."""
+    word = F.lower("token")
+    ends = lambda *suffixes: word.rlike("(" + "|".join(suffixes) + ")$")
+    pos = (
+        F.when(ends("ing", "ed"), "VERB").when(ends("ly"), "ADV").when(ends("es", "e", "tion"), "NOUN")
+        .when(ends("n", "t"), "ADJ").otherwise("X")
+    )
+    tag = F.when(ends("ing"), "VBG").when(ends("ed"), "VBD").otherwise("-")
+    lemma = F.regexp_replace(word, "(ing|ed|es|e)$", "")
+    return tokens_by_side.select(
+        "sent_id", "side", "tok_no", lemma.alias("lemma"), pos.alias("pos"), tag.alias("tag")
+    )

@@ -58,6 +58,9 @@ POSSESSIVES = ("'s", "'")
 # Characters that count as punctuation.
 PUNCTUATION = r"^[!-/:-@\[-`{-~\x{2018}\x{2019}\x{201c}\x{201d}\x{2026}\x{2013}\x{2014}\x{ab}\x{bb} ]+$"
 
+# Misspelled inflections: decided before the spelling rule.
+INFLECTIONS = ("NOUN:INFL", "VERB:INFL")
+
 # Part-of-speech tag to category, for one-class edits.
 POS_CATEGORY = {
     "NOUN": "NOUN", "PROPN": "NOUN", "VERB": "VERB", "AUX": "VERB:TENSE", "ADJ": "ADJ",
@@ -99,12 +102,15 @@ def category_rules(
         (both & ~one_word & (F.array_sort(o_words) == F.array_sort(c_words)), "WO"),
         (_all_in(words, CONTRACTIONS), "CONTR"),
     ]
+    if by_pos is not None:
+        rules.append((by_pos.isin(*INFLECTIONS), by_pos))
     if known is not None:
         lettered = o_str.rlike("[A-Za-z]")
         rules.append((both & one_word & lettered & ~known, "SPELL"))
     rules += [(_all_in(words, listed), name) for name, listed in CLOSED_CLASSES.items()]
     chain = reduce(lambda acc, r: acc.when(r[0], r[1]), rules[1:], F.when(*rules[0]))
-    return chain.otherwise(F.coalesce(by_pos, F.lit("OTHER")) if by_pos is not None else F.lit("OTHER"))
+    other = F.lit("OTHER")
+    return chain.otherwise(other if by_pos is None else F.coalesce(by_pos, other))
 
 
 def classify(
@@ -116,8 +122,7 @@ def classify(
     else:
         rows = mark_known(edits, vocabulary, keys)
         known = F.col("_known")
-    by_pos = F.col("pos_category") if "pos_category" in edits.columns else None
-    category = category_rules(F.col("o_str"), F.col("c_str"), known, by_pos)
+    category = category_rules(F.col("o_str"), F.col("c_str"), known)
     named = rows.withColumn("category", category)
     return named.withColumn("type", F.concat_ws(":", "op", "category")).drop("_known")
 
@@ -171,12 +176,10 @@ def span_features(
         F.col(f"{side}_end") > F.col(f"{side}_start"),
         F.sequence(F.col(f"{side}_start"), F.col(f"{side}_end") - 1),
     ).otherwise(F.array().cast("array<int>"))
-    places = F.concat(
-        *[
-            F.transform(span(side), lambda at, s=side: F.struct(F.lit(s).alias("side"), at.alias("tok_no")))
-            for side in "oc"
-        ]
+    place = lambda side: F.transform(
+        span(side), lambda at: F.struct(F.lit(side).alias("side"), at.alias("tok_no"))
     )
+    places = F.concat(place("o"), place("c"))
     at = edits.select(*keys, "edit_no", F.inline(places))
     found = at.join(token_features, [*keys, "side", "tok_no"])
     feature = F.struct("tok_no", "lemma", "pos", "tag")

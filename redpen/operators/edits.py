@@ -174,6 +174,7 @@ def single_span(
     return (
         pairs.where(F.col(original) != F.col(corrected))
         .select(*keys, tokens(F.col(original)).alias("_o"), tokens(F.col(corrected)).alias("_c"))
+        .where(F.col("_o") != F.col("_c"))
         .withColumn("o_start", _common_run(F.col("_o"), F.col("_c")))
         .withColumns({"_or": rest("_o"), "_cr": rest("_c")})
         .withColumn("_tail", _common_run(F.reverse("_or"), F.reverse("_cr")))
@@ -184,7 +185,6 @@ def single_span(
             F.array_join(cut("_or"), " ").alias("o_str"),
             F.array_join(cut("_cr"), " ").alias("c_str"),
         )
-        .where((F.col("o_str") != "") | (F.col("c_str") != ""))
     )
 
 

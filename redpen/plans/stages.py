@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from redpen.operators.classify import build_vocabulary, classify
+from redpen.operators.classify import build_vocabulary, classify_counts
 from redpen.operators.edits import extract_edits
 from redpen.operators.predict import Predictor, fit_lexicon, predict_lexicon, tag
-from redpen.plans.evaluate import score_triples
+from redpen.operators.score import SPAN_KEY, by_category, match_edits
 from redpen.plans.prepare import PrepareConfig, prepare
 
 
@@ -44,11 +43,13 @@ def run_chain(
         for name, df in prepare(eval_pool, test, extra_train, config.prepare).items()
     }
     vocabulary = stage("vocabulary", build_vocabulary(splits["train"], "corrected", config.min_count))
-    stage("edits-gold", classify(extract_edits(splits["eval"]), vocabulary))
+    gold = stage("edits-gold", extract_edits(splits["test"]))
     if predictor is None:
         lexicon = stage("lexicon", fit_lexicon(extract_edits(splits["train"], merge="all-split"), config.min_count))
         tagged = predict_lexicon(splits["test"], lexicon)
     else:
         tagged = tag(splits["test"], predictor, config.task_prefix)
-    tagged = stage("predictions", tagged.select("sent_id", "original", "corrected", F.col("prediction")))
-    return stage("results", score_triples(tagged, vocabulary))
+    tagged = stage("predictions", tagged.select("sent_id", "original", "prediction"))
+    hyp = stage("edits-hyp", extract_edits(tagged, corrected="prediction"))
+    flags = match_edits(gold, hyp, SPAN_KEY, ("op", "o_str"))
+    return stage("results", by_category(classify_counts(flags, vocabulary)))
