@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEED = 42
-N_EVAL = 1000
+N_EVAL = 200
 VOCABULARY_MIN = 2
 PREFIX = "Grammar:"
 
@@ -43,9 +43,7 @@ def query(fn: Query) -> Query:
 
 
 def token_pairs(spark: SparkSession, sf: str, corrected: str = "target_text") -> DataFrame:
-    """Tokenized pairs, spread over all cores for the alignment."""
-    pairs = X.pairs(spark, sf).select("sent_id", "input_text", corrected).repartition("sent_id")
-    return pairs.select(
+    return X.pairs(spark, sf).select(
         "sent_id",
         T.tokenize(F.col("input_text")).alias("original"),
         T.tokenize(F.col(corrected)).alias("corrected"),
@@ -334,7 +332,7 @@ def classify_edits(spark, sf):
 
 @query
 def classify_edits_features(spark, sf):
-    rows = X.inflected(spark, sf).repartition("sent_id").select(
+    rows = X.inflected(spark, sf).select(
         "sent_id",
         T.tokenize(F.col("input_text")).alias("original"),
         T.tokenize(F.col("target_text")).alias("corrected"),
@@ -473,8 +471,7 @@ def markup_segments(spark, sf):
 
 @query
 def check(spark, sf):
-    texts = X.pairs(spark, sf).select("sent_id", "input_text").repartition("sent_id")
-    return D.check(texts, plain_repair_model)
+    return D.check(X.pairs(spark, sf), plain_repair_model)
 
 
 @query

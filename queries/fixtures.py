@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redpen.functions.text import replace_all
+from redpen.session import spread_scan
 
 # Corruptions, as (clean, corrupted). The corrupted spellings and the added
 # words occur nowhere in the tables, so every planted edit is recognizable.
@@ -25,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty lines of all documents, keyed by document and line number."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread_scan(docs, "doc_id").select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ln", "line")
     )
     return docs.where(F.col("line") != "").select(

@@ -399,6 +399,33 @@ M2_ROWS = f"""
     FROM ({numbered(X.LINES_SQL)}) l LEFT JOIN ({typed(GOLD)}) e ON l.sent_id = e.sent_id)
 """
 
+VOCABULARY_HYP = VOCABULARY.replace("target_text", "hyp_text", 1)
+COMPARED = by_category(
+    f"SELECT * FROM ({flags(spelled(GOLD), spelled(HYP, VOCABULARY_HYP), SPAN, ('category',))})"
+)
+
+
+def _chain() -> str:
+    """Train on the tail of the pool, apply the counted corrections to the test part."""
+    pool = f"SELECT *, row_number() OVER (ORDER BY {SHUFFLE}, sent_id) AS place FROM ({C4})"
+    train = f"SELECT sent_id, corrected FROM ({pool}) WHERE place > {N_EVAL + 1}"
+    words = f"""
+      SELECT word FROM (SELECT unnest({tokens('lower(corrected)')}) AS word FROM ({train}))
+      GROUP BY word HAVING count(*) >= {VOCABULARY_MIN}"""
+    lexicon = LEXICON.replace("WHERE o_str <> ''", f"WHERE o_str <> '' AND sent_id IN (SELECT sent_id FROM ({train}))")
+    hyp = f"""
+      SELECT sent_id, string_agg(CASE WHEN l.o_str IS NULL THEN tok ELSE tok || '{ARROW}' || c_str END, ' ' ORDER BY k) AS marked
+      FROM (SELECT sent_id, unnest(list) AS tok, generate_subscripts(list, 1) AS k
+            FROM (SELECT sent_id, {tokens('original')} AS list FROM ({CLEAN}))) t
+      LEFT JOIN (SELECT * FROM ({lexicon}) WHERE NOT contains(o_str, ' ')) l ON tok = l.o_str
+      GROUP BY sent_id"""
+    gold = f"SELECT * FROM ({GOLD}) WHERE sent_id IN (SELECT sent_id FROM ({CLEAN}))"
+    known = "word IS NOT NULL OR op <> 'R' OR contains(o_str, ' ')"
+    return by_category(f"""
+      SELECT {category('o_str', 'c_str', known)} AS category, tp, fp, fn
+      FROM ({flags(edits(gold), edits(hyp), SPAN, ('op', 'o_str'))}) f LEFT JOIN ({words}) v ON lower(f.o_str) = v.word""")
+
+
 _key = "length(line) || ' ' || (length(line) + 1) || '|||R:' || source || '|||' || line"
 
 ORACLE = {
@@ -488,6 +515,8 @@ ORACLE = {
       SELECT line_no AS sent_id, {strip(tokenize('input_text'))} AS sentence, greatest(n, 1)::INT AS n_edits
       FROM ({numbered(X.PAIRS_SQL)})
       LEFT JOIN (SELECT sent_id, count(*) AS n FROM ({edits(GOLD)}) WHERE op = 'U' GROUP BY sent_id) USING (sent_id)""",
+    "compare_files": COMPARED,
+    "stage_chain": _chain(),
     "results_json": REPORT,
     "run_log": f"SELECT 'run-1' AS run_id, '8' AS batch_size, line_no AS sent_id, {strip('hyp_text')} AS text FROM ({numbered(X.PAIRS_SQL)})",
 }

@@ -32,6 +32,15 @@ def build_session(app: str = "redpen", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+    """Hash a direct file scan over all cores if its files give fewer tasks.
+
+    Large inputs already split into more tasks than cores and are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediates: ``spark.checkpoint.dir``.
 
