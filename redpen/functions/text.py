@@ -32,12 +32,14 @@ TOKENIZE_REPAIRS = (
     ("U .S .A", "U.S.A"),
 )
 
-# The Unicode whitespace characters, in a form both Java and RE2
-# regular expressions read.
+# The Unicode whitespace characters, as a class that both Java and
+# RE2 regular expressions read and as plain characters.
 WS_SET = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WS_SET}]"
-# Printable ASCII first: most characters are decided by one comparison.
-TOKEN = f"[!-~[^{WS_SET}]]+"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 STRIKE = "̶"
 M2_SEP = "|||"
@@ -71,8 +73,13 @@ def normalize_ws(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace-separated tokens as an array."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """Whitespace-separated tokens as an array.
+
+    One character mapping and a split on a plain space: several times faster
+    than a split on the character class.
+    """
+    spaced = F.translate(text, WS_CHARS, " " * len(WS_CHARS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def strikeout(text: Column) -> Column:

@@ -20,117 +20,117 @@ CELL_BUDGET = 8_000_000
 def _padded(flat, starts, sizes, left, width, fill):
     """Rows of ``flat`` as a matrix with ``left`` fill columns first."""
     out = np.full((len(starts), width), fill, dtype=np.int32)
-    cols = np.arange(sizes.max(initial=0))
-    inside = cols < sizes[:, None]
-    rows, at = np.nonzero(inside)
+    rows = np.repeat(np.arange(len(starts)), sizes)
+    at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[rows, at + left] = flat[starts[rows] + at]
     return out
 
 
-def _sweep(prev, o, c, first, last, on_row):
-    """Fill matrix rows ``first+1 .. last`` of the band; returns the last."""
-    width = prev.shape[1]
-    ramp = np.arange(width, dtype=np.int32)
-    above = np.full_like(prev, FAR)
-    for i in range(first, last):
-        diag = prev + (c[:, i : i + width] != o[:, i, None])
-        above[:, :-1] = prev[:, 1:] + 1
-        row = np.minimum(diag, above) - ramp
-        np.minimum.accumulate(row, axis=1, out=row)
-        row += ramp
-        on_row(i, row, diag, above)
-        prev = row
-    return prev
-
-
 def _align_chunk(o, c, n, m, band):
-    """Operations of each pair, right-aligned, their count, and the distance."""
-    pairs, rows, width = len(n), o.shape[1], 2 * band + 1
-    who = np.arange(pairs)
-    top = np.full((pairs, width), FAR, dtype=np.int32)
-    top[:, band:] = np.arange(band + 1, dtype=np.int32)
-    fits = pairs * rows * width <= CELL_BUDGET
-    block = rows if fits else max(1, int(rows**0.5), CELL_BUDGET // (pairs * width))
-    distance = np.zeros(pairs, dtype=np.int32)
-    choice = np.empty((min(block, rows), pairs, width), dtype=np.uint8)
-
-    def keep_distance(i, row, diag, above):
-        done = n == i + 1
-        distance[done] = row[done, (m - n + band)[done]]
+    """Operations of each pair, right-aligned, with their count; and the distance.
 
-    def keep_choice(i, row, diag, above):
-        keep_distance(i, row, diag, above)
-        choice[i - first] = np.where(row == diag, MATCH, np.where(row == above, DELETE, INSERT))
+    Pairs come longest original first, so the ones still running at a row are a
+    leading slice. A cell holds the distance minus its column, which makes the
+    insertion step a running minimum.
+    """
+    pairs, rows, width = len(n), int(n[0]), 2 * band + 1
+    running = np.searchsorted(-n, -np.arange(rows), side="left")
+    offset = np.concatenate([[0], np.cumsum(running)])
+    budget = max(CELL_BUDGET // width, int(running[0]))
+    block = rows if offset[-1] <= budget else max(1, int(rows**0.5), budget // pairs)
+    distance = np.zeros(pairs, dtype=np.int32)
+    edges = offset[np.append(np.arange(0, rows, block), rows)]
+    choice = np.empty(int(np.diff(edges).max()) * width, dtype=np.uint8)
+
+    def sweep(prev, first, last, keep):
+        diag, row = np.empty_like(prev), prev.copy()
+        above = np.full_like(prev, FAR)
+        for i in range(first, last):
+            k = running[i]
+            p, d, a = row[:k].copy(), diag[:k], above[:k]
+            np.subtract(p, c[:k, i : i + width] == o[:k, i, None], out=d)
+            np.add(p[:, 1:], 1, out=a[:, :-1])
+            r = row[:k]
+            np.minimum(d, a, out=r)
+            np.minimum.accumulate(r, axis=1, out=r)
+            if keep:
+                start = (offset[i] - offset[first]) * width
+                side = r != d
+                code = choice[start : start + k * width].reshape(k, width)
+                np.add(side, side & (r != a), out=code, dtype=np.uint8)
+            done = running[i + 1] if i + 1 < rows else 0
+            if done < k:
+                ends = np.arange(done, k)
+                distance[ends] = row[ends, m[ends] - n[ends] + band] + m[ends]
+        return row
 
-    saved, prev = {}, top
+    top = np.full((pairs, width), FAR, dtype=np.int32)
+    top[:, band:] = 0
+    saved, last = {}, top
     for first in range(0, rows, block):
-        saved[first] = prev
-        visit = keep_choice if first + block >= rows else keep_distance
-        prev = _sweep(prev, o, c, first, min(first + block, rows), visit)
-    if (distance > band).any() and band < max(rows, int(m.max())):
+        saved[first] = last
+        last = sweep(last, first, min(first + block, rows), first + block >= rows)
+    if band < max(rows, int(m.max())) and (distance > band).any():
         return None, None, distance
 
-    ops = np.zeros((pairs, rows + int(m.max())), dtype=np.uint8)
-    i, j, at = n.copy(), m.copy(), np.full(pairs, ops.shape[1])
+    longest = int((n + m).max())
+    ops = np.zeros((pairs, longest), dtype=np.uint8)
+    i, j, at = n.astype(np.int64), m.astype(np.int64), np.full(pairs, longest)
     for first in reversed(range(0, rows, block)):
         if first + block < rows:
-            _sweep(saved[first], o, c, first, min(first + block, rows), keep_choice)
+            sweep(saved[first], first, first + block, True)
+        live = np.arange(pairs)
         while True:
-            live = np.nonzero((i > first) | ((j > 0) & (first == 0)))[0]
+            li, lj = i[live], j[live]
+            on = (li > first) | (lj > 0) if first == 0 else li > first
+            if not on.all():
+                live, li, lj = live[on], li[on], lj[on]
             if not len(live):
                 break
-            li, lj = i[live], j[live]
-            inside = li > first
-            step = np.full(len(live), INSERT, dtype=np.uint8)
-            step[inside] = choice[
-                li[inside] - 1 - first, live[inside], lj[inside] - li[inside] + band
-            ]
-            step[inside & (lj == 0)] = DELETE
-            diagonal = step == MATCH
-            differ = o[live, li - 1] != c[live, np.maximum(lj - 1, 0) + band]
+            cell = (offset[np.maximum(li, 1) - 1] - offset[first] + live) * width + lj - li + band
+            step = np.where(li == 0, 2, np.where(lj == 0, 1, choice[np.where(li == 0, 0, cell)]))
+            diagonal = step == 0
+            same = o[live, li - 1] == c[live, lj - 1 + band]
             at[live] -= 1
-            ops[live, at[live]] = np.where(diagonal & differ, SUBSTITUTE, step)
-            i[live] -= step != INSERT
-            j[live] -= step != DELETE
-    return ops, ops.shape[1] - at, distance
+            ops[live, at[live]] = np.where(diagonal, np.where(same, MATCH, SUBSTITUTE), step + 1)
+            i[live] = li - (step != 2)
+            j[live] = lj - (step != 1)
+    return ops, longest - at, distance
 
 
 def align(o_flat, o_off, c_flat, c_off):
     """Operation codes of all pairs as one flat array plus row offsets."""
     n, m = np.diff(o_off), np.diff(c_off)
-    parts = []
     one_sided = np.nonzero((n == 0) | (m == 0))[0]
     longest = int((n + m)[one_sided].max(initial=0))
     fill = np.where(n[one_sided] > 0, DELETE, INSERT).astype(np.uint8)
-    parts.append((one_sided, np.repeat(fill[:, None], longest, 1), (n + m)[one_sided]))
+    parts = [(one_sided, np.repeat(fill[:, None], longest, 1), (n + m)[one_sided])]
 
     def pow2(x):
         return 1 << np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64)
 
+    size = np.maximum(n, m)
+    band = np.minimum(pow2(np.abs(n - m) + 2 + size // 8), pow2(size))
     todo = np.nonzero((n > 0) & (m > 0))[0]
-    size = pow2(np.maximum(n, m))
-    band = np.minimum(pow2(np.abs(n - m) + 4), size)
+    todo = todo[np.lexsort((-n[todo], band[todo]))]
     while len(todo):
-        todo = todo[np.lexsort((n[todo], size[todo], band[todo]))]
-        again = []
-        while len(todo):
-            k, rows = int(band[todo[0]]), int(size[todo[0]])
-            alike = (band[todo] == k) & (size[todo] == rows)
-            room = max(1, CELL_BUDGET // (rows * (2 * k + 1)))
-            take = min(int(alike.argmin()) if not alike.all() else len(todo), room)
-            chunk, todo = todo[:take], todo[take:]
-            cn, cm = n[chunk], m[chunk]
-            tall = int(cn.max())
-            o = _padded(o_flat, o_off[:-1][chunk], cn, 0, tall, -1)
-            c = _padded(c_flat, c_off[:-1][chunk], cm, k, max(tall + 2 * k, int(cm.max()) + k), -2)
-            ops, lengths, distance = _align_chunk(o, c, cn, cm, k)
-            if ops is not None:
-                parts.append((chunk, ops, lengths))
-                continue
-            wide = (distance > k) & (k < size[chunk])
-            band[chunk[wide]] = np.minimum(4 * k, size[chunk[wide]])
-            again.append(chunk)
-        todo = np.concatenate(again) if again else todo
+        k = int(band[todo[0]])
+        alike = int(np.searchsorted(band[todo], k, side="right"))
+        cells = np.cumsum(n[todo[:alike]]) * (2 * k + 1)
+        take = max(1, int(np.searchsorted(cells, CELL_BUDGET)))
+        chunk, todo = todo[:take], todo[take:]
+        cn, cm = n[chunk], m[chunk]
+        tall = int(cn[0])
+        o = _padded(o_flat, o_off[:-1][chunk], cn, 0, tall, -1)
+        c = _padded(c_flat, c_off[:-1][chunk], cm, k, max(tall + 2 * k, int(cm.max()) + k), -2)
+        ops, lengths, distance = _align_chunk(o, c, cn, cm, k)
+        if ops is None:
+            narrow = distance > k
+            band[chunk[narrow]] = np.minimum(4 * k, pow2(size[chunk[narrow]]))
+            todo = np.concatenate([todo, chunk])
+            todo = todo[np.lexsort((-n[todo], band[todo]))]
+        else:
+            parts.append((chunk, ops, lengths))
 
     lengths = np.zeros(len(n), dtype=np.int64)
     for who, _, count in parts:
@@ -138,9 +138,9 @@ def align(o_flat, o_off, c_flat, c_off):
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     flat = np.empty(offsets[-1], dtype=np.uint8)
     for who, ops, count in parts:
-        rows, cols = np.nonzero(np.arange(ops.shape[1]) >= (ops.shape[1] - count)[:, None])
-        pos = cols - (ops.shape[1] - count)[rows]
-        flat[offsets[who][rows] + pos] = ops[rows, cols]
+        rows = np.repeat(np.arange(len(who)), count)
+        pos = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+        flat[offsets[who][rows] + pos] = ops[rows, (ops.shape[1] - count)[rows] + pos]
     return flat, offsets
 
 

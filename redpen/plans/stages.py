@@ -51,5 +51,5 @@ def run_chain(
         tagged = tag(splits["test"], predictor, config.task_prefix)
     tagged = stage("predictions", tagged.select("sent_id", "original", "prediction"))
     hyp = stage("edits-hyp", extract_edits(tagged, corrected="prediction"))
-    flags = match_edits(gold, hyp, SPAN_KEY, ("op", "o_str"))
+    flags = match_edits(gold, hyp, (*SPAN_KEY, "op", "o_str"))
     return stage("results", by_category(classify_counts(flags, vocabulary)))
