@@ -24,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return spread_scan(docs, "doc_id")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty lines of all documents, keyed by document and line number."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    docs = spread_scan(docs, "doc_id").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ln", "line")
     )
     return docs.where(F.col("line") != "").select(
@@ -107,7 +111,7 @@ LEFT_PAD, RIGHT_PAD = "\t\u00a0 ", " \u2003\n\u3000"
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with whitespace of several kinds at both ends."""
     text = F.concat(F.lit(LEFT_PAD), F.col("text"), F.lit(RIGHT_PAD))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
 PADDED_SQL = (
@@ -152,7 +156,7 @@ def char_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(F.lit("XX "), null, F.lit(" \U0001f600 "), F.lit("")), F.array().cast("array<string>")
         ).alias("text"),
     )
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent_id"), "text", edits.alias("edits"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("sent_id"), "text", edits.alias("edits"))
 
 
 CHAR_EDITS_SQL = """

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from queries import fixtures as X
 from queries.catalog import N_EVAL, SEED, VOCABULARY_MIN
-from redpen.functions.text import TOKEN_SPELLINGS, TOKENIZE_REPAIRS, WS, WS_SET
+from redpen.functions.text import TOKEN_SPELLINGS, TOKENIZE_REPAIRS
 from redpen.operators.classify import (
     CLOSED_CLASSES,
     CONTRACTIONS,
@@ -20,6 +20,10 @@ from redpen.operators.classify import (
 
 q = X.quoted
 
+# The Unicode whitespace characters as a regular expression.
+WS_SET = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{WS_SET}]"
+
 
 def replaced(expr: str, changes) -> str:
     return X._sql_replace(expr, changes)

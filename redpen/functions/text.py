@@ -32,10 +32,7 @@ TOKENIZE_REPAIRS = (
     ("U .S .A", "U.S.A"),
 )
 
-# The Unicode whitespace characters, as a class that both Java and
-# RE2 regular expressions read and as plain characters.
-WS_SET = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WS = f"[{WS_SET}]"
+# The Unicode whitespace characters.
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -63,8 +60,7 @@ def tokenize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends."""
-    left = F.regexp_replace(text, f"^{WS}+", "")
-    return F.regexp_replace(left, f"{WS}+\\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def normalize_ws(text: Column) -> Column:

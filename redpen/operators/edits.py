@@ -102,12 +102,8 @@ def token_distance(
     corrected: str = "corrected",
 ) -> DataFrame:
     """Smallest number of token insertions, deletions and substitutions."""
-    same = F.col(original) == F.col(corrected)
-    base = pairs.select(*keys, original, corrected)
-    aligned = align(base.where(~same), original, corrected, "all-split")
-    return aligned.select(*keys, F.size("spans").alias("distance")).unionByName(
-        base.where(same).select(*keys, F.lit(0).alias("distance"))
-    )
+    aligned = align(pairs.select(*keys, original, corrected), original, corrected, "all-split")
+    return aligned.select(*keys, F.size("spans").alias("distance"))
 
 
 def collect_edits(edits: DataFrame, key: str = "sent_id") -> DataFrame:
