@@ -127,6 +127,19 @@ def classify(
     return named.withColumn("type", F.concat_ws(":", "op", "category")).drop("_known")
 
 
+def _lookup_word() -> Column:
+    """What an edit looks up in the vocabulary: never null, so nothing piles up.
+
+    Spans of several words and insertions hold a space, which no word does.
+    """
+    return F.when(F.col("o_str") == "", F.concat(F.lit(" "), "c_str")).otherwise(F.lower("o_str"))
+
+
+def _is_known() -> Column:
+    single = (F.col("op") == "R") & ~F.contains("o_str", F.lit(" "))
+    return F.coalesce("_known", F.lit(False)) | ~single
+
+
 def mark_known(
     edits: DataFrame, vocabulary: DataFrame, keys: tuple[str, ...] = ("sent_id",)
 ) -> DataFrame:
@@ -135,14 +148,11 @@ def mark_known(
     Edits are written once because they feed both the count of frequent tokens
     and the join; a misspelling that makes up a third of all edits is spread.
     """
-    word = F.when(
-        (F.col("op") == "R") & ~F.contains("o_str", F.lit(" ")), F.lower("o_str")
-    )
-    rows = materialize(edits.withColumn("word", word), "edits")
-    counts = rows.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
+    rows = materialize(edits.withColumn("word", _lookup_word()), "edits")
+    counts = rows.groupBy("word").agg(F.count("*").alias("n"))
     entries = vocabulary.select("word", F.lit(True).alias("_known"))
     joined = lookup(rows, entries, "word", F.struct(*keys, "o_start", "o_end"), counts)
-    return joined.withColumn("_known", F.coalesce("_known", F.col("word").isNull())).drop("word")
+    return joined.withColumn("_known", _is_known()).drop("word")
 
 
 def classify_counts(flags: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -153,11 +163,9 @@ def classify_counts(flags: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     counted = flags.groupBy("op", "o_str", "c_str").agg(*sums)
-    single = (F.col("op") == "R") & ~F.contains("o_str", F.lit(" "))
-    counted = counted.withColumn("word", F.when(single, F.lower("o_str")))
+    counted = counted.withColumn("word", _lookup_word())
     entries = vocabulary.select("word", F.lit(True).alias("_known"))
-    known = F.coalesce("_known", F.col("word").isNull())
-    category = category_rules(F.col("o_str"), F.col("c_str"), known)
+    category = category_rules(F.col("o_str"), F.col("c_str"), _is_known())
     return counted.join(entries, "word", "left").select(
         "op", "o_str", "c_str", category.alias("category"), "tp", "fp", "fn"
     )
