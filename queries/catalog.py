@@ -23,6 +23,7 @@ from redpen.plans.stages import ChainConfig, run_chain
 from redpen.session import scratch_path
 from redpen.sources import corpora, files, lines, m2, sinks
 from redpen.streaming.check import check_stream as stream_check
+from redpen.streaming.check import tag_stream as stream_tag
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -485,6 +486,20 @@ def check_stream(spark, sf):
     return spark.read.parquet(out).select("sent_id", "output_text")
 
 
+@query
+def tag_stream(spark, sf):
+    """Deduplicated prediction per micro-batch."""
+    schema = X.table(spark, sf, "conversations").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    texts = stream.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"),
+        X.replace_all(F.col("text"), X.MISSPELLED).alias("input_text"),
+    )
+    out = scratch_path(spark, "tagged")
+    stream_tag(texts, repair_model, PREFIX, out, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).select("sent_id", "prediction")
+
+
 # ---------------------------------------------------------------- files
 
 

@@ -505,6 +505,9 @@ ORACLE = {
       SELECT p.sent_id, input_text, {repaired('input_text')} AS output_text, markup
       FROM ({X.PAIRS_SQL}) p JOIN ({markup(CHECKED)}) m USING (sent_id)""",
     "check_stream": f"SELECT doc_id AS sent_id, {repaired(replaced('text', X.MISSPELLED))} AS output_text FROM documents",
+    "tag_stream": f"""
+      SELECT conv_id * 1000 + turn AS sent_id, {tokenize(repaired(replaced('text', X.MISSPELLED)))} AS prediction
+      FROM conversations""",
     "csv_roundtrip": f"""SELECT doc_id AS sent_id, ' "a, b" ' || text || '\\ "' AS input_text, '' AS target_text FROM ({X.PADDED_SQL})""",
     "text_roundtrip": f"SELECT line_no AS sent_id, original, corrected FROM ({numbered(MERLIN)})",
     "predictions_file": f"SELECT line_no AS sent_id, {strip('hyp_text')} AS text FROM ({numbered(X.PAIRS_SQL)})",

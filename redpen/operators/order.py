@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Largest boundary found by top-k; beyond it key prefixes are counted first.
+TOP_K_ROWS = 1_000_000
+PREFIX_DIGITS = 4
+
 
 def shuffle_key(seed: int, row_id: str = "sent_id") -> Column:
     """Pseudo-random, engine-independent position of a row."""
@@ -29,20 +34,36 @@ def head_tail_split(
 ) -> tuple[DataFrame, DataFrame]:
     """First ``n`` rows of the seeded order, and all rows after the next ``gap``.
 
-    Only the two boundary keys are computed (top-k over ids); both parts are then
-    plain filters on the row's own key, so the large part is never shuffled,
-    joined or numbered.
+    Only the two boundary keys are computed; both parts are then plain filters on
+    the row's own key, so the large part is never shuffled, joined or numbered.
     """
     here = F.struct(shuffle_key(seed, row_id).alias("k"), F.col(row_id).alias("id"))
+    keys = df.select(here.alias("at"))
+    if n:
+        last = _nth_key(keys, n)
+        head = df.where(last.isNull() | (here <= last))
+    else:
+        head = df.limit(0)
+    return head, df.where(here > _nth_key(keys, n + gap)) if n + gap else df
+
 
-    def boundary(rows: int) -> Column:
-        top = df.select(here.alias("at")).orderBy("at").limit(rows)
-        return top.agg(F.max("at")).scalar()
+def _nth_key(keys: DataFrame, n: int) -> Column:
+    """The ``n``-th smallest key as a scalar subquery, null or the last one if there are fewer.
 
-    head = df.where(here <= boundary(n)) if n else df.limit(0)
-    if n + gap == 0:
-        return head, df
-    return head, df.where(here > boundary(n + gap))
+    A small ``n`` is a top-k. For a large one the hash prefixes are counted (a
+    fixed number of buckets), and only the bucket that holds the boundary, a
+    1/16**PREFIX_DIGITS part of the rows, is ranked.
+    """
+    if n <= TOP_K_ROWS:
+        return keys.orderBy("at").limit(n).agg(F.max("at")).scalar()
+    keys = keys.withColumn("bucket", F.substring("at.k", 1, PREFIX_DIGITS))
+    counts = keys.groupBy("bucket").agg(F.count("*").alias("n"))
+    earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    edge = placed.where((F.col("before") < n) & (F.col("before") + F.col("n") >= n))
+    inside = keys.join(F.broadcast(edge.select("bucket", "before")), "bucket")
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy("at"))
+    return inside.withColumn("rank", rank + F.col("before")).where(F.col("rank") == n).agg(F.max("at")).scalar()
 
 
 def prefix_take(df: DataFrame, n: int | None, order_by: str = "sent_id") -> DataFrame:

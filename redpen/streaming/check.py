@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from redpen.operators.display import check
-from redpen.operators.predict import Predictor
+from redpen.operators.predict import Predictor, tag
 
 
 def check_stream(
@@ -31,3 +31,24 @@ def check_stream(
         .option("checkpointLocation", checkpoint)
     )
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
+
+
+def tag_stream(
+    texts: DataFrame,
+    predictor: Predictor,
+    task_prefix: str,
+    out_path: str,
+    checkpoint: str,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Predict each distinct input of a micro-batch once.
+
+    Every batch overwrites its own folder, so a batch that is repeated after a
+    failure leaves no duplicates.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tag(batch, predictor, task_prefix).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    writer = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if available_now else writer.start()

@@ -4,7 +4,7 @@ import pytest
 from pyspark import cloudpickle
 
 from redpen.operators import display as D
-from redpen.streaming.check import check_stream
+from redpen.streaming.check import check_stream, tag_stream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -78,3 +78,12 @@ def test_check_stream_equals_batch_and_resumes(spark, texts, tmp_path):
     assert {tuple(r) for r in run().collect()} == {tuple(r) for r in D.check(texts, fix).collect()}
     texts.where("sent_id = 0").selectExpr("sent_id + 10 AS sent_id", "input_text").write.mode("append").parquet(source)
     assert run().count() == 4
+
+
+def test_tag_stream_predicts_per_batch(spark, texts, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    texts.unionByName(texts.selectExpr("sent_id + 10 AS sent_id", "input_text")).write.parquet(source)
+    stream = spark.readStream.schema(texts.schema).parquet(source)
+    tag_stream(stream, fix, "G", out, progress).awaitTermination()
+    got = {r.sent_id: r.prediction for r in spark.read.parquet(out).collect()}
+    assert got == {0: "G : see the dog .", 10: "G : see the dog .", 1: "G : fine .", 11: "G : fine .", 2: "G : the end", 12: "G : the end"}

@@ -19,6 +19,14 @@ def test_split_parts_are_disjoint_and_complete(spark):
     assert ids(O.head_tail_split(df, 100, 42)[0]) == ids(O.seeded_head(df, 100, 42))
 
 
+def test_large_boundaries_are_found_by_counting_prefixes(spark, monkeypatch):
+    df = spark.range(700).withColumnRenamed("id", "sent_id")
+    expected = [[ids(x) for x in O.head_tail_split(df, n, 7, 1)] for n in (1, 350, 699, 700, 900)]
+    monkeypatch.setattr(O, "TOP_K_ROWS", 0)
+    monkeypatch.setattr(O, "PREFIX_DIGITS", 1)
+    assert [[ids(x) for x in O.head_tail_split(df, n, 7, 1)] for n in (1, 350, 699, 700, 900)] == expected
+
+
 def test_seeds_give_other_but_repeatable_orders(spark):
     df = spark.range(200).withColumnRenamed("id", "sent_id")
     order = lambda seed: [r.sent_id for r in O.seeded_shuffle(df.repartition(3), seed).collect()]
