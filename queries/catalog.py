@@ -277,7 +277,7 @@ def token_distance(spark, sf):
 
 
 def _edits(spark, sf, merge):
-    return E.extract_edits(token_pairs(spark, sf), merge=merge)
+    return E.extract_edits(token_pairs(spark, sf), merge=merge, compare_first=False)
 
 
 @query
@@ -341,7 +341,8 @@ def classify_edits_features(spark, sf):
     side = lambda s, c: rows.select("sent_id", F.lit(s).alias("side"), F.posexplode(T.tokens(F.col(c))).alias("tok_no", "token"))
     features = X.token_features(side("o", "original").unionByName(side("c", "corrected")))
     words = C.build_vocabulary(rows, "corrected", VOCABULARY_MIN)
-    return C.classify_with_features(E.extract_edits(rows), words, features).select(
+    edits = E.extract_edits(rows, compare_first=False)
+    return C.classify_with_features(edits, words, features).select(
         "sent_id", "o_start", "type", "o_str", "c_str"
     )
 
@@ -551,7 +552,7 @@ def m2_roundtrip(spark, sf):
     """Edits written as M2 blocks and parsed again, one row per edit or noop."""
     path = scratch_path(spark, "m2")
     pairs = token_pairs(spark, sf)
-    edits = E.extract_edits(pairs)
+    edits = E.extract_edits(pairs, compare_first=False)
     category = C.category_rules(F.col("o_str"), F.col("c_str"))
     typed = edits.withColumn("type", E.m2_type(F.col("op"), category))
     sinks.write_m2(pairs.select("sent_id", "original"), typed, path)
@@ -562,7 +563,7 @@ def m2_roundtrip(spark, sf):
 def m2_sentences(spark, sf):
     path = scratch_path(spark, "m2")
     pairs = token_pairs(spark, sf)
-    none = E.extract_edits(pairs).withColumn("type", F.lit("R:OTHER")).where(F.col("op") == "U")
+    none = E.extract_edits(pairs, compare_first=False).withColumn("type", F.lit("R:OTHER")).where(F.col("op") == "U")
     sinks.write_m2(pairs.select("sent_id", "original"), none, path)
     return m2.read_m2(spark, path).select("sent_id", "sentence", F.size("edits").alias("n_edits"))
 

@@ -76,14 +76,20 @@ def extract_edits(
     original: str = "original",
     corrected: str = "corrected",
     merge: str = "all-merge",
+    compare_first: bool = True,
 ) -> DataFrame:
     """One row per edit: keys, edit_no, op, o_str, o_start, o_end, c_str, c_start, c_end.
 
     Narrow: no shuffle, so it runs inside the stage that reads the pairs. Rows
     are spread by the caller when a few files hold all the text.
+
+    ``compare_first`` drops equal pairs before anything else. That pays for stored
+    columns; texts derived in the same plan would be derived twice for it, once
+    for the comparison and once for the edits.
     """
-    changed = pairs.where(F.col(original) != F.col(corrected))
-    spans = align(changed.select(*keys, original, corrected), original, corrected, merge)
+    if compare_first:
+        pairs = pairs.where(F.col(original) != F.col(corrected))
+    spans = align(pairs.select(*keys, original, corrected), original, corrected, merge)
     rows = spans.select(*keys, "lead", F.posexplode("spans").alias("edit_no", "e"))
     shifted = [
         (F.col(f"e.{c}") + F.col("lead")).alias(c)
