@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from redpen.llm import bpe, mixing, repetition, sharding
+from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, repetition, sharding
 from redpen.llm.tables import read
 
 
@@ -26,10 +26,27 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good quality; background: all documents."""
+    good = read(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy.score(read(spark, sf_dir, "documents"), good)
+
+
 QUERIES = {
+    "op1_html_extraction": html_extraction,
     "op4_quality_rules": quality_rules,
     "op5_byte_bpe": byte_bpe,
+    "op6_license_scan": license_scan,
     "op7_sharding": sharded,
     "op8_mixing": mixed_sources,
+    "op10_lm_scoring": lm_scoring,
 }
 ORACLE: dict[str, str] = {"op8_mixing": mixing.mix_sql()}
