@@ -72,31 +72,31 @@ def vocabulary(docs: DataFrame, size: int, text: str = "text") -> list[bytes]:
 
 
 def numbered(docs: DataFrame, known: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids array<int>``: vocabulary numbers from 1, 0 for all other words."""
+    """``key`` and ``ids binary``: two bytes a word, vocabulary numbers from 1, 0 for all other words."""
+    if len(known) > 0xFFFF:
+        raise ValueError("two bytes number at most 65535 words")
     shared = docs.sparkSession.sparkContext.broadcast({word: i for i, word in enumerate(known, 1)})
 
     def make():
         number = shared.value.get
 
         def run(keys, texts):
-            lists = [np.array([number(word, 0) for word in words(value.as_py())], np.int32) for value in texts]
-            offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-            yield {key: keys, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))}
+            ids = [np.array([number(w, 0) for w in words(value.as_py())], np.uint16).tobytes() for value in texts]
+            yield {key: keys, "ids": ids}
 
         return run
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_slices(docs, [key, text], make, f"`{key}` {kind}, ids array<int>")
+    return map_slices(docs, [key, text], make, f"`{key}` {kind}, ids binary")
 
 
-def _pairs(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(encoded: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Pair numbers (word before, word) of all texts end to end, and each text's number of words.
 
     The class of the other words, 0, also stands before the first word.
     """
-    counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.binary_length(encoded).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    flat = np.frombuffer(b"".join(encoded.to_pylist()), np.uint16).astype(np.int64)
     before = np.concatenate([[0], flat[:-1]])[: len(flat)]
     starts = np.cumsum(counts) - counts
     before[starts[counts > 0]] = 0
