@@ -148,7 +148,7 @@ def score(
     side = len(known) + 1
     ours = good.select(F.col(key).alias("good_key")).distinct()
     encoded = numbered(docs, known, key, text)
-    encoded = encoded.join(ours, F.col(key) == F.col("good_key"), "left")
+    encoded = encoded.join(ours.hint("merge"), F.col(key) == F.col("good_key"), "left")
     encoded = stored(encoded.select(key, "ids", F.col("good_key").isNotNull().alias("target")), "numbered")
 
     table = pair_counts(encoded, side).toArrow()  # at most side * side rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, repetition, sharding
+from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, near_dedup, repetition, sharding
 from redpen.llm.tables import read
 
 
@@ -40,6 +40,10 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.score(read(spark, sf_dir, "documents"), good)
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op4_quality_rules": quality_rules,
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_license_scan": license_scan,
     "op7_sharding": sharded,
     "op8_mixing": mixed_sources,
+    "op9_minhash_dedup": minhash_near_dedup,
     "op10_lm_scoring": lm_scoring,
 }
 ORACLE: dict[str, str] = {"op8_mixing": mixing.mix_sql()}
