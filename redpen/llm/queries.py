@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, near_dedup, repetition, sharding
+from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, near_dedup, nearest, repetition, sharding
 from redpen.llm.tables import read
 
 
@@ -44,8 +45,13 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
+    "op3_nearest_neighbours": nearest_neighbours,
     "op4_quality_rules": quality_rules,
     "op5_byte_bpe": byte_bpe,
     "op6_license_scan": license_scan,
