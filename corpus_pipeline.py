@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from redpen.llm import bpe, mixing, repetition
+from redpen.llm import bpe, mixing, near_dedup, repetition, toxicity
 from redpen.llm.tables import read, stored
 
 
@@ -14,6 +14,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep_good(docs)
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that look toxic go; the model learns from the labelled ones among all documents."""
+    model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return near_dedup.keep_first(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed(docs)
@@ -24,7 +35,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality rules", quality), ("mixing", mix), ("byte-level BPE", encode)]
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", toxic),
+    ("near-dedup", dedup),
+    ("mixing", mix),
+    ("byte-level BPE", encode),
+]
 #: Neither the suffix array nor the merges can be expressed in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, near_dedup, nearest, repetition, sharding
+from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, near_dedup, nearest, repetition, sharding, toxicity
 from redpen.llm.tables import read
 
 
@@ -49,8 +49,15 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
+    "op2_toxicity": toxic_documents,
     "op3_nearest_neighbours": nearest_neighbours,
     "op4_quality_rules": quality_rules,
     "op5_byte_bpe": byte_bpe,
