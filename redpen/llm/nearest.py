@@ -79,7 +79,7 @@ def _placed(classes: DataFrame, tables: int, probes: int) -> DataFrame:
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
                 rows = pa.array(mine)
-                vectors = lists.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim)
+                vectors = lists.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim).astype(np.float64)
                 unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
                 for table in range(tables):
                     codes = nearest_axes(rotated(unit, table), probes)
@@ -95,7 +95,8 @@ def _placed(classes: DataFrame, tables: int, probes: int) -> DataFrame:
 
         return run
 
-    schema = "dim int, table int, code int, class_id long, vector array<double>, ids array<long>"
+    kind = classes.schema["vector"].dataType.simpleString()  # single precision stays single in the shuffle
+    schema = f"dim int, table int, code int, class_id long, vector {kind}, ids array<long>"
     return map_slices(classes, ["class_id", "vector", "ids"], make, schema, rows=2048)
 
 
@@ -104,7 +105,8 @@ def _best(group: pa.Table, k: int) -> pa.Table:
     group = group.combine_chunks()
     asks = np.array(group["asks"].to_pylist())
     names = group["class_id"].to_numpy()
-    vectors = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+    vectors = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    vectors = vectors.reshape(len(names), -1).astype(np.float64)
     there, here = np.flatnonzero(~asks), np.flatnonzero(asks)
     out_ids, out_best = [], []
     if len(there):
@@ -134,7 +136,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's ``k`` nearest found rows, itself apart."""
     rows = vectors.where(usable(vector)).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks")
+        F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks")
     )
     rows = stored(rows.where("id IS NOT NULL"), "vectors")
     first = W.partitionBy("vector").orderBy("id")
