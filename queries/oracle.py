@@ -399,7 +399,7 @@ M2_ROWS = f"""
   SELECT sent_id - 0 AS sent_id, edit_no, o_start, o_end, type, c_str, category FROM (
     SELECT l.line_no AS sent_id, coalesce(edit_no, 0) AS edit_no, coalesce(o_start, -1) AS o_start,
            coalesce(o_end, -1) AS o_end, coalesce(type, 'noop') AS type, coalesce(c_str, '-NONE-') AS c_str,
-           coalesce(category, 'op') AS category
+           coalesce(category, 'noop') AS category
     FROM ({numbered(X.LINES_SQL)}) l LEFT JOIN ({typed(GOLD)}) e ON l.sent_id = e.sent_id)
 """
 
@@ -458,7 +458,9 @@ ORACLE = {
     "seeded_shuffle_topn": f"SELECT sent_id, input_text, target_text FROM ({C4}) ORDER BY {SHUFFLE}, sent_id LIMIT {N_EVAL}",
     "seeded_sample": f"SELECT sent_id, line FROM ({X.LINES_SQL}) ORDER BY {SHUFFLE}, sent_id LIMIT 10",
     "prefix_take": f"SELECT sent_id, input_text AS input, target_text AS output FROM ({X.PAIRS_SQL}) ORDER BY sent_id LIMIT 2000",
-    "prepare_train": f"{TAIL} UNION ALL SELECT * FROM ({C4})",
+    "prepare_train": f"""
+      SELECT * REPLACE (2 * sent_id AS sent_id) FROM ({TAIL})
+      UNION ALL SELECT * REPLACE (2 * sent_id + 1 AS sent_id) FROM ({C4})""",
     "prepare_eval": f"SELECT {COLUMNS} FROM ({RANKED}) WHERE place <= {N_EVAL}",
     "prepare_test": MERLIN,
     "token_distance": f"SELECT sent_id, sum(ch::INT)::INT AS distance FROM ({marks(GOLD)}) GROUP BY sent_id",

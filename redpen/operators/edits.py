@@ -49,13 +49,14 @@ def align(
 ) -> DataFrame:
     """Adds ``spans`` (edits of the trimmed middle) and ``lead`` (tokens before it).
 
-    Every intermediate column is used more than once, which keeps the optimizer
+    Null text counts as empty text. Every intermediate column is used more than once, which keeps the optimizer
     from inlining it into the expressions above.
     """
+    filled = lambda name: F.coalesce(F.col(name), F.lit(""))
     rest = lambda side: F.slice(F.col(side), F.col("lead") + 1, F.size(side) - F.col("lead"))
     middle = lambda side: F.slice(F.col(side), F.lit(1), F.size(side) - F.col("_tail"))
     return (
-        pairs.withColumns({"_o": tokens(F.col(original)), "_c": tokens(F.col(corrected))})
+        pairs.withColumns({"_o": tokens(filled(original)), "_c": tokens(filled(corrected))})
         .withColumn("lead", _common_run(F.col("_o"), F.col("_c")))
         .withColumns({"_o_rest": rest("_o"), "_c_rest": rest("_c")})
         .withColumn("_tail", _common_run(F.reverse("_o_rest"), F.reverse("_c_rest")))
@@ -171,6 +172,7 @@ def single_span(
     corrected: str = "corrected",
 ) -> DataFrame:
     """The one span between the common start and the common end of each pair."""
+    filled = lambda name: F.coalesce(F.col(name), F.lit(""))
     rest = lambda side: F.slice(F.col(side), F.col("o_start") + 1, F.size(side) - F.col("o_start"))
     cut = lambda side: F.slice(F.col(side), F.lit(1), F.size(side) - F.col("_tail"))
     return (

@@ -55,14 +55,33 @@ def explode_references(df: DataFrame, references: str, corrected: str) -> DataFr
     """One row per reference; rows without references disappear.
 
     The new ``sent_id`` is the old one shifted left by ``REF_BITS`` plus the
-    reference's position, so it stays unique without a shuffle.
+    reference's position, so it stays unique without a shuffle. An id or a
+    position that does not fit fails the job instead of colliding.
     """
     others = [c for c in df.columns if c not in (references, "sent_id")]
     rows = df.select("sent_id", *others, F.posexplode(references).alias("_ref", corrected))
     new_id = F.shiftleft("sent_id", REF_BITS) + F.col("_ref")
+    edge = 1 << (63 - REF_BITS)
+    fits = F.col("sent_id").between(-edge, edge - 1) & (F.col("_ref") < 1 << REF_BITS)
+    new_id = F.when(fits | F.col("sent_id").isNull(), new_id).otherwise(
+        F.raise_error(F.lit("sent_id or number of references too large for explode_references"))
+    )
     return rows.select(new_id.alias("sent_id"), *others, corrected)
 
 
+def apart(frames: list[DataFrame]) -> list[DataFrame]:
+    """The frames with ids that no two of them share: each id times their number, plus the frame's place.
+
+    Ids stay unique if they were within each frame; no shuffle. An id that
+    does not fit fails the job.
+    """
+    n = len(frames)
+    edge = (1 << 63) // max(n, 1) - 1
+    own = F.when(F.col("sent_id").isNull() | F.col("sent_id").between(-edge, edge - 1), F.col("sent_id") * F.lit(n))
+    own = own.otherwise(F.raise_error(F.lit("sent_id too large for apart")))
+    return [df.withColumn("sent_id", own + F.lit(i)) for i, df in enumerate(frames)]
+
+
 def concatenate(frames: list[DataFrame]) -> DataFrame:
     """Bag union by column name."""
     return reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from redpen.operators.order import head_tail_split
-from redpen.operators.rows import cast_to, concatenate
+from redpen.operators.rows import apart, cast_to, concatenate
 
 
 @dataclass(frozen=True)
@@ -27,8 +27,9 @@ def prepare(
     """Canonical pairs to ``train``, ``eval`` and ``test``.
 
     The pool's seeded head becomes ``eval``; its tail and the extra sources
-    become ``train``. All parts are lazy and read their sources directly.
+    become ``train``, with ids made unique over its sources (`rows.apart`). All parts are lazy and read their sources directly.
     """
     head, tail = head_tail_split(cast_to(eval_pool), config.n_eval, config.seed, config.gap)
-    train = concatenate([tail, *[cast_to(df) for df in extra_train]])
+    parts = [tail, *[cast_to(df) for df in extra_train]]
+    train = concatenate(apart(parts) if extra_train else parts)
     return {"train": train, "eval": head, "test": cast_to(test)}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from redpen.operators import order as O
@@ -80,3 +81,15 @@ def test_prepare(spark):
     assert {k: v.count() for k, v in splits.items()} == {"train": 39 + 50, "eval": 10, "test": 50}
     assert R.stack_pairs(splits).groupBy("split").count().count() == 3
     assert set(R.training_frame(splits["train"], "Grammar:").columns) == {"prefix", "input_text", "target_text"}
+
+
+def test_ids_stay_apart_over_sources(spark):
+    a = spark.createDataFrame([(0, "x"), (5, "y")], "sent_id long, source string")
+    union = R.concatenate(R.apart([a, a, a])).collect()
+    assert len({r.sent_id for r in union}) == 6
+
+
+def test_references_that_do_not_fit_fail(spark):
+    df = spark.createDataFrame([(1 << 44, ["a", "b"])], "sent_id long, corrections array<string>")
+    with pytest.raises(Exception, match="too large"):
+        R.explode_references(df, "corrections", "corrected").collect()
