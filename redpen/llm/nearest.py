@@ -162,8 +162,12 @@ def search(
     best = met.groupBy("dim", "table", "code", "chunk").applyInArrow(
         lambda group: _best(group, k), "class_id long, best array<struct<far:double,id:long>>"
     )
-    merged = best.groupBy("class_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
-    merged = stored(merged.select("class_id", F.slice("best", 1, k + 1).alias("best")), "nearest")
+    # A query's lists meet once; an id found in several tables has the same score in each.
+    found = best.repartition("class_id").select("class_id", F.explode("best").alias("hit"))
+    found = found.groupBy("class_id", F.col("hit.id").alias("id")).agg(F.min("hit.far").alias("far"))
+    found = found.withColumn("turn", F.row_number().over(W.partitionBy("class_id").orderBy("far", "id")))
+    merged = found.where(F.col("turn") <= k + 1).groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("best"))
+    merged = stored(merged, "nearest")
 
     query_rows = rows.where("asks").select("id", "vector").distinct()
     query_rows = query_rows.join(classes.where("asks").select("class_id", "vector"), "vector").select("id", "class_id")
