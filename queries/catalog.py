@@ -547,27 +547,45 @@ def partitioned_split(spark, sf):
     return files.read_split(files.read_table(spark, path, "parquet"), "test")
 
 
+def _typed_pairs(pairs):
+    edits = E.extract_edits(pairs, compare_first=False)
+    category = C.category_rules(F.col("o_str"), F.col("c_str"))
+    return edits.withColumn("type", E.m2_type(F.col("op"), category))
+
+
 @query
 def m2_roundtrip(spark, sf):
     """Edits written as M2 blocks and parsed again, one row per edit or noop."""
     path = scratch_path(spark, "m2")
     pairs = token_pairs(spark, sf)
-    edits = E.extract_edits(pairs, compare_first=False)
-    category = C.category_rules(F.col("o_str"), F.col("c_str"))
-    typed = edits.withColumn("type", E.m2_type(F.col("op"), category))
-    sinks.write_m2(pairs.select("sent_id", "original"), typed, path)
+    sinks.write_m2(pairs.select("sent_id", "original"), _typed_pairs(pairs), path)
     return m2.m2_edits(m2.read_m2(spark, path), ignore_noop=False)
 
 
 @query
 def m2_sentences(spark, sf):
+    """Every sentence read back, with the number of its edit lines (a noop counts)."""
     path = scratch_path(spark, "m2")
     pairs = token_pairs(spark, sf)
-    none = E.extract_edits(pairs, compare_first=False).withColumn("type", F.lit("R:OTHER")).where(F.col("op") == "U")
-    sinks.write_m2(pairs.select("sent_id", "original"), none, path)
+    sinks.write_m2(pairs.select("sent_id", "original"), _typed_pairs(pairs), path)
     return m2.read_m2(spark, path).select("sent_id", "sentence", F.size("edits").alias("n_edits"))
 
 
+@query
+def m2_line_ends(spark, sf):
+    """M2 with CRLF, without blank lines and with repeated ones reads as the plain file does."""
+    pairs = token_pairs(spark, sf)
+    blocks = sinks.m2_blocks(pairs.select("sent_id", "original"), _typed_pairs(pairs))
+    text = F.regexp_replace("block", "\n$", "")
+    kind = F.pmod(F.col("sent_id"), F.lit(3))
+    text = F.when(kind == 0, F.regexp_replace(text, "\n", "\r\n")).when(kind == 1, text).otherwise(
+        F.concat(F.lit("\n\n"), text, F.lit("\n\n\n"))
+    )
+    path = scratch_path(spark, "m2-loose")
+    blocks.orderBy("sent_id").select(text).write.text(path)
+    return m2.m2_edits(m2.read_m2(spark, path), ignore_noop=False)
+
+
 @query
 def compare_files(spark, sf):
     """Parallel files to M2 for gold and hypothesis, then the category report."""
@@ -575,11 +593,34 @@ def compare_files(spark, sf):
     paths = {c: scratch_path(spark, c) for c in ("original", "corrected", "prediction", "gold", "hyp")}
     for column in ("original", "corrected", "prediction"):
         sinks.write_lines(triples, paths[column], column)
-    V.parallel_to_m2(spark, paths["original"], paths["corrected"], paths["gold"], VOCABULARY_MIN)
-    V.parallel_to_m2(spark, paths["original"], paths["prediction"], paths["hyp"], VOCABULARY_MIN)
+    words = vocabulary(spark, sf)
+    V.parallel_to_m2(spark, paths["original"], paths["corrected"], paths["gold"], vocabulary=words)
+    V.parallel_to_m2(spark, paths["original"], paths["prediction"], paths["hyp"], vocabulary=words)
     return V.compare_m2(spark, paths["hyp"], paths["gold"])
 
 
+def _evaluated_files(spark, sf, ignore_noop):
+    """Originals as CSV, predictions as text and gold as M2, then the strict record of the files."""
+    rows = X.pairs(spark, sf)
+    csv, predictions, gold = (scratch_path(spark, x) for x in ("pairs", "predictions", "gold"))
+    sinks.write_pair_csv(rows.orderBy("sent_id"), csv)
+    sinks.write_predictions(rows.withColumnRenamed("hyp_text", "prediction"), predictions)
+    triples, words = token_triples(spark, sf), vocabulary(spark, sf)
+    edits = C.classify(E.extract_edits(triples.drop("prediction")), words)
+    sinks.write_m2(triples.select("sent_id", "original"), edits, gold)
+    return V.evaluate_files(spark, csv, predictions, gold, words, ignore_noop=ignore_noop)
+
+
+@query
+def evaluate_files(spark, sf):
+    return _evaluated_files(spark, sf, ignore_noop=True)
+
+
+@query
+def evaluate_files_noop(spark, sf):
+    return _evaluated_files(spark, sf, ignore_noop=False)
+
+
 @query
 def results_json(spark, sf):
     """The category report written as one JSON document and flattened again."""

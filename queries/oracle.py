@@ -403,10 +403,18 @@ M2_ROWS = f"""
     FROM ({numbered(X.LINES_SQL)}) l LEFT JOIN ({typed(GOLD)}) e ON l.sent_id = e.sent_id)
 """
 
-VOCABULARY_HYP = VOCABULARY.replace("target_text", "hyp_text", 1)
-COMPARED = by_category(
-    f"SELECT * FROM ({flags(spelled(GOLD), spelled(HYP, VOCABULARY_HYP), SPAN, ('category',))})"
-)
+COMPARED = by_category(f"SELECT * FROM ({flags(spelled(GOLD), spelled(HYP), SPAN, ('category',))})")
+
+STRICT = "sent_id, edit_key"
+#: What a sentence without gold edits has in the M2 file.
+NO_EDIT = f"""
+  SELECT sent_id, '-1 -1|||noop|||-NONE-' AS edit_key FROM ({X.LINES_SQL})
+  WHERE sent_id NOT IN (SELECT sent_id FROM ({edits(GOLD)}))
+"""
+
+
+def strict(marked: str) -> str:
+    return f"SELECT sent_id, o_start || ' ' || o_end || '|||' || type || '|||' || c_str AS edit_key FROM ({spelled(marked)})"
 
 
 def _chain() -> str:
@@ -523,8 +531,11 @@ ORACLE = {
     "m2_sentences": f"""
       SELECT line_no AS sent_id, {strip(tokenize('input_text'))} AS sentence, greatest(n, 1)::INT AS n_edits
       FROM ({numbered(X.PAIRS_SQL)})
-      LEFT JOIN (SELECT sent_id, count(*) AS n FROM ({edits(GOLD)}) WHERE op = 'U' GROUP BY sent_id) USING (sent_id)""",
+      LEFT JOIN (SELECT sent_id, count(*) AS n FROM ({edits(GOLD)}) GROUP BY sent_id) USING (sent_id)""",
+    "m2_line_ends": M2_ROWS,
     "compare_files": COMPARED,
+    "evaluate_files": scored(f"SELECT {SUMS} FROM ({flags(strict(GOLD), strict(HYP), STRICT)})"),
+    "evaluate_files_noop": scored(f"SELECT {SUMS} FROM ({flags(f'{strict(GOLD)} UNION ALL {NO_EDIT}', strict(HYP), STRICT)})"),
     "stage_chain": _chain(),
     "results_json": REPORT,
     "run_log": f"SELECT 'run-1' AS run_id, '8' AS batch_size, line_no AS sent_id, {strip('hyp_text')} AS text FROM ({numbered(X.PAIRS_SQL)})",

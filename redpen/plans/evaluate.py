@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redpen.functions.text import tokenize
 from redpen.operators.classify import build_vocabulary, classify, classify_counts
-from redpen.operators.edits import extract_edits
+from redpen.operators.edits import extract_edits, with_edit_key
 from redpen.operators.score import (
     SPAN_KEY,
     by_category,
     drop_noop,
     flag_edits,
     match_edits,
+    score_strict,
     zip_on_id,
 )
-from redpen.sources.lines import read_lines
+from redpen.sources.files import read_pair_csv
+from redpen.sources.lines import read_lines, with_row_ids
 from redpen.sources.m2 import m2_edits, read_m2
 from redpen.sources.sinks import write_m2, write_results
 
@@ -57,12 +60,23 @@ def score_triples(
 
 
 def parallel_to_m2(
-    spark: SparkSession, original_path: str, corrected_path: str, out_path: str, min_count: int = 1
+    spark: SparkSession,
+    original_path: str,
+    corrected_path: str,
+    out_path: str,
+    min_count: int = 1,
+    vocabulary: DataFrame | None = None,
 ) -> None:
-    """Two line-aligned files to an M2 file."""
+    """Two line-aligned files to an M2 file.
+
+    Give both sides of a comparison the same ``vocabulary``; without one, the
+    words of the corrected file are counted, and a misspelling that predictions
+    repeat would pass as known.
+    """
     originals = read_lines(spark, original_path, "original")
     pairs = zip_on_id(originals, read_lines(spark, corrected_path, "corrected"))
-    vocabulary = build_vocabulary(pairs, "corrected", min_count)
+    if vocabulary is None:
+        vocabulary = build_vocabulary(pairs, "corrected", min_count)
     write_m2(originals, classify(extract_edits(pairs), vocabulary), out_path)
 
 
@@ -75,3 +89,34 @@ def compare_m2(
     if json_path:
         write_results(report, json_path)
     return report
+
+
+def evaluate_files(
+    spark: SparkSession,
+    pairs_path: str,
+    predictions_path: str,
+    gold_path: str,
+    vocabulary: DataFrame | None = None,
+    min_count: int = 1,
+    ignore_noop: bool = False,
+) -> DataFrame:
+    """Strict record (tp, fp, fn, p, r, f05) of a predictions file against M2 gold.
+
+    ``pairs_path`` is the pair CSV that holds the originals; row, line and
+    sentence numbers must line up, otherwise the call fails. A gold ``noop``
+    counts as a missed edit unless ``ignore_noop``. Without a ``vocabulary`` the
+    words of the CSV's targets are counted.
+    """
+    pairs = with_row_ids(read_pair_csv(spark, pairs_path))
+    gold = read_m2(spark, gold_path)
+    predicted = zip_on_id(pairs, read_lines(spark, predictions_path, "prediction"))
+    zip_on_id(pairs.select("sent_id"), gold.select("sent_id"))
+    if vocabulary is None:
+        vocabulary = build_vocabulary(pairs.select(tokenize(F.col("target_text")).alias("t")), "t", min_count)
+    sides = predicted.select(
+        "sent_id",
+        tokenize(F.col("input_text")).alias("original"),
+        tokenize(F.col("prediction")).alias("corrected"),
+    )
+    hyp = with_edit_key(classify(extract_edits(sides), vocabulary))
+    return score_strict(with_edit_key(m2_edits(gold, ignore_noop)), hyp, ignore_noop)

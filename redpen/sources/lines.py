@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,12 +10,10 @@ from redpen.functions.text import strip
 from redpen.session import materialize
 
 
-def with_row_ids(scan: DataFrame, row_id: str = "sent_id") -> DataFrame:
-    """Dense row numbers in file order for a direct file scan.
+def placed_rows(scan: DataFrame) -> DataFrame:
+    """The rows of a direct file scan, written once with file, block and running number.
 
-    Rows are written once with their file, block and running number, so that a
-    second pass cannot see other splits. Only the row counts per block (one
-    row per 128 MB of input) meet in a window.
+    A second pass thus cannot see other splits. ``_at`` stands for file and block.
     """
     columns = scan.columns
     part = F.regexp_extract("_metadata.file_path", r"part-(\d+)", 1).try_cast("long")
@@ -26,16 +24,36 @@ def with_row_ids(scan: DataFrame, row_id: str = "sent_id") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    placed = materialize(placed, "rows")
-    blocks = placed.groupBy("_part", "_file", "_block").agg(
-        F.count("*").alias("_n"), F.min("_seq").alias("_first")
+    return materialize(placed.withColumn("_at", F.xxhash64("_file", "_block")), "rows")
+
+
+def block_starts(placed: DataFrame, counted: Column) -> DataFrame:
+    """(_at, _first, _turn, _base) per block: its first number, its place in file order, and the
+    sum of ``counted`` over all blocks before it.
+
+    One row per 128 MB of input meets in a window. The result is written, so
+    that the planner knows its true size and repeats it to all tasks only below
+    its own limit; the texts then stay where they are.
+    """
+    blocks = placed.groupBy("_part", "_file", "_block", "_at").agg(
+        F.sum(counted).alias("_n"), F.min("_seq").alias("_first")
     )
-    before = W.orderBy("_part", "_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    order = W.orderBy("_part", "_file", "_block")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.select(
-        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
+        "_at",
+        "_first",
+        F.row_number().over(order).alias("_turn"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
     )
+    return materialize(starts, "blocks")
+
+
+def with_row_ids(scan: DataFrame, row_id: str = "sent_id") -> DataFrame:
+    """Dense row numbers in file order for a direct file scan."""
+    placed = placed_rows(scan)
     number = F.col("_base") + F.col("_seq") - F.col("_first")
-    return placed.join(starts, ["_file", "_block"]).select(number.alias(row_id), *columns)
+    return placed.join(block_starts(placed, F.lit(1)), "_at").select(number.alias(row_id), *scan.columns)
 
 
 def read_lines(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
