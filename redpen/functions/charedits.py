@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from redpen.functions.arrays import bind
+
 
 def apply_char_edits(text: Column, edits: Column) -> Column:
     """Replace character ranges left to right.
@@ -14,20 +16,17 @@ def apply_char_edits(text: Column, edits: Column) -> Column:
     steps = F.arrays_zip(
         edits["start"].alias("s"), edits["end"].alias("e"), edits["text"].alias("t")
     )
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-
-    def step(acc: Column, edit: Column) -> Column:
-        kept = F.when(
-            edit["s"] > acc["pos"], F.substring(text, acc["pos"] + 1, edit["s"] - acc["pos"])
-        ).otherwise("")
-        added = F.coalesce(edit["t"], F.lit(""))
-        return F.struct(
-            F.concat(acc["out"], kept, added).alias("out"), edit["e"].alias("pos")
-        )
-
-    def finish(acc: Column) -> Column:
-        rest = F.substring(text, acc["pos"] + 1, F.length(text))
-        return F.replace(F.concat(acc["out"], rest), F.lit("  "), F.lit(" "))
-
-    edited = F.aggregate(steps, state, step, finish)
-    return F.when(F.coalesce(F.size(edits["start"]), F.lit(0)) <= 0, text).otherwise(edited)
+
+    def edited(row: Column) -> Column:
+        def piece(edit: Column, k: Column) -> Column:
+            at = F.when(k == 0, F.lit(0)).otherwise(F.get(row["steps"], k - 1)["e"])
+            kept = F.when(edit["s"] > at, F.substring(row["text"], at + 1, edit["s"] - at)).otherwise("")
+            return F.concat(kept, F.coalesce(edit["t"], F.lit("")))
+
+        last = F.element_at(row["steps"], -1)["e"]
+        rest = F.substring(row["text"], last + 1, F.length(row["text"]))
+        pieces = F.array_join(F.transform(row["steps"], piece), "")
+        return F.replace(F.concat(pieces, rest), F.lit("  "), F.lit(" "))
+
+    none = F.coalesce(F.size(edits["start"]), F.lit(0)) <= 0
+    return F.when(none, text).otherwise(bind({"text": text, "steps": steps}, edited))

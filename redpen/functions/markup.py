@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from redpen.functions.arrays import bind
 from redpen.functions.text import strikeout, strip_operation
 
 # The markup format and the colour of each tag.
-TAG_FORMAT = ("<", " type='", "' edit='", "'>", "</", ">")
+TAG_FORMAT = "<%1$s type='%2$s' edit='%3$s'>%4$s</%1$s>"
 TAG_COLORS = {"d": "#faa", "a": "#afa", "c": "#fea"}
 TAG_PATTERN = r"<[dac]\s.*?</[dac]>"
 FIELDS_PATTERN = r"(?s)^<([dac]) type='(.*?)' edit='(.*?)'>(.*)</[dac]>$"
@@ -18,8 +19,8 @@ SENTINEL = "\ue000"
 
 def tag_string(tag: Column, edit_type: Column, edit: Column, text: Column) -> Column:
     """``<c type='SPELL' edit='the'>teh</c>``"""
-    open_, type_, edit_, close, end, last = (F.lit(x) for x in TAG_FORMAT)
-    return F.concat(open_, tag, type_, edit_type, edit_, edit, close, text, end, tag, last)
+    whole = F.format_string(TAG_FORMAT, tag, edit_type, edit, text)
+    return F.when(tag.isNotNull() & edit_type.isNotNull() & edit.isNotNull() & text.isNotNull(), whole)
 
 
 def _tag(edit: Column) -> Column:
@@ -43,13 +44,19 @@ def pieces(tokens: Column, edits: Column) -> Column:
     Edits are sorted and do not overlap or touch. Each one contributes the plain
     text since the one before and its tag, so work is linear in tokens plus edits.
     """
-    first = lambda e: F.when(
-        e["o_str"] == "", F.greatest(e["o_start"] - 1, F.lit(0))
-    ).otherwise(e["o_start"])
     last = lambda e: F.when(
         e["o_str"] == "", F.least(F.greatest(e["o_start"], F.lit(1)), F.size(tokens))
     ).otherwise(e["o_end"])
     ends = F.concat(F.array(F.lit(0)), F.transform(edits, last))
+    return bind({"tokens": tokens, "edits": edits, "ends": ends}, _pieces)
+
+
+def _pieces(row: Column) -> Column:
+    """``pieces`` over tokens, edits and the token where each piece starts."""
+    tokens, edits, ends = row["tokens"], row["edits"], row["ends"]
+    first = lambda e: F.when(
+        e["o_str"] == "", F.greatest(e["o_start"] - 1, F.lit(0))
+    ).otherwise(e["o_start"])
     spaced = lambda words: F.when(
         F.size(words) > 0, F.concat(F.array_join(words, " "), F.lit(" "))
     ).otherwise("")
@@ -61,7 +68,7 @@ def pieces(tokens: Column, edits: Column) -> Column:
     def around(e: Column, k: Column) -> Column:
         start = F.get(ends, k)
         words = F.slice(tokens, start + 1, F.greatest(first(e) - start, F.lit(0)))
-        covered = F.array_join(F.slice(tokens, first(e) + 1, last(e) - first(e)), " ")
+        covered = F.array_join(F.slice(tokens, first(e) + 1, F.get(ends, k + 1) - first(e)), " ")
         inserted = _insertion_text(e, covered, e["o_start"] == 0)
         tagged = piece(
             F.when(e["o_str"] == "", covered).otherwise(e["o_str"]),
@@ -88,38 +95,66 @@ def markup(parts: Column) -> Column:
 
 
 def compat_markup(tokens: Column, edits: Column) -> Column:
-    """Markup with the historical placement rules, by a fold over the edits.
+    """Markup with the historical placement rules.
 
     An insertion at the start is attached after the second token, and edits that
     meet on one token nest. A one-token sentence with such an insertion gives null.
+    Edits are sorted by the token they attach to; each token with edits starts a
+    group, so work is linear in tokens plus edits, but for that sort.
     """
-    state = F.struct(tokens.alias("toks"), F.array().cast("array<int>").alias("gone"))
     place = lambda e: F.when(
         e["o_str"] == "", F.when(e["o_start"] >= 1, e["o_start"] - 1).otherwise(F.lit(1))
     ).otherwise(e["o_start"])
+    after = lambda e: F.when(e["o_str"] == "", place(e) + 1).otherwise(F.greatest(place(e) + 1, e["o_end"]))
+    placed = F.array_sort(
+        F.transform(edits, lambda e, k: F.struct(place(e).alias("at"), k.alias("k"), after(e).alias("after"), e.alias("edit")))
+    )
 
-    def step(acc: Column, e: Column) -> Column:
-        at = place(e)
-        word = F.get(acc["toks"], at)
-        edit_type = strip_operation(e["type"])
-        text = F.when(e["o_str"] == "", word).otherwise(e["o_str"])
-        shown = F.when(
-            (e["o_str"] == "") & (edit_type != "PUNCT"), F.concat(word, F.lit(" "), e["c_str"])
-        ).otherwise(e["c_str"])
-        tagged = tag_string(_tag(e), edit_type, shown, text)
-        toks = F.when(
-            word.isNotNull(), F.transform(acc["toks"], lambda t, k: F.when(k == at, tagged).otherwise(t))
-        )
-        inner = F.when(
-            e["o_end"] > e["o_start"] + 1, F.sequence(e["o_start"] + 1, e["o_end"] - 1)
-        ).otherwise(F.array().cast("array<int>"))
-        return F.struct(toks.alias("toks"), F.concat(acc["gone"], inner).alias("gone"))
-
-    def finish(acc: Column) -> Column:
-        kept = F.filter(acc["toks"], lambda t, k: ~F.array_contains(acc["gone"], k))
-        return F.array_join(kept, " ")
-
-    return F.aggregate(edits, state, step, finish)
+    def grouped(row: Column) -> Column:
+        opens = lambda k: (k == 0) | (F.get(row["placed"], k)["at"] != F.get(row["placed"], k - 1)["at"])
+        places = F.sequence(F.lit(0), F.size(row["placed"]) - 1)
+        starts = F.when(F.size(row["placed"]) > 0, F.filter(places, opens)).otherwise(F.array().cast("array<int>"))
+        return bind({"tokens": row["tokens"], "placed": row["placed"], "starts": starts}, folded)
+
+    def folded(row: Column) -> Column:
+        def group(start: Column, g: Column) -> Column:
+            end = F.coalesce(F.get(row["starts"], g + 1), F.size(row["placed"]))
+            at = F.get(row["placed"], start)["at"]
+            state = F.struct(F.get(row["tokens"], at).alias("word"), (at + 1).alias("after"))
+            done = F.aggregate(F.slice(row["placed"], start + 1, end - start), state, _wrap)
+            return F.struct(at.alias("at"), done.alias("done"))
+
+        groups = F.transform(row["starts"], group)
+        return bind({"tokens": row["tokens"], "groups": groups}, joined)
+
+    def joined(row: Column) -> Column:
+        tokens, groups = row["tokens"], row["groups"]
+        # Two groups back: an insertion at the start attaches inside the first edit.
+        free_at = lambda g: F.greatest(*[F.get(groups, g - back)["done"]["after"] for back in (1, 2)], F.lit(0))
+
+        def piece(here: Column, g: Column) -> Column:
+            free = free_at(g)
+            plain = F.slice(tokens, free + 1, F.greatest(here["at"] - free, F.lit(0)))
+            # A token that the group before covers is not shown.
+            return F.when(here["at"] >= free, F.concat(plain, F.array(here["done"]["word"]))).otherwise(plain)
+
+        last = free_at(F.size(groups))
+        rest = F.slice(tokens, last + 1, F.greatest(F.size(tokens) - last, F.lit(0)))
+        text = F.array_join(F.concat(F.flatten(F.transform(groups, piece)), rest), " ")
+        return F.when(~F.exists(groups, lambda x: x["done"]["word"].isNull()), text)
+
+    return bind({"tokens": tokens, "placed": placed}, grouped)
+
+
+def _wrap(state: Column, placed: Column) -> Column:
+    """Put one more edit around what its token shows so far."""
+    e, word = placed["edit"], state["word"]
+    edit_type = strip_operation(e["type"])
+    inserted = e["o_str"] == ""
+    text = F.when(inserted, word).otherwise(e["o_str"])
+    shown = F.when(inserted & (edit_type != "PUNCT"), F.concat(word, F.lit(" "), e["c_str"])).otherwise(e["c_str"])
+    tagged = F.when(word.isNotNull(), tag_string(_tag(e), edit_type, shown, text))
+    return F.struct(tagged.alias("word"), F.greatest(state["after"], placed["after"]).alias("after"))
 
 
 def split_markup(text: Column) -> Column:

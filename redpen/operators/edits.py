@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redpen.functions.arrays import bind
 from redpen.functions.text import M2_SEP, edit_key, tokens
 from redpen.operators import alignment
 from redpen.schema import SPAN
@@ -151,18 +152,22 @@ def apply_edits(original: Column, edits: Column) -> Column:
     Each edit contributes the kept tokens since the edit before it plus its
     correction, so the work is linear in tokens plus edits.
     """
-    toks = tokens(original)
     ends = F.concat(F.array(F.lit(0)), F.transform(edits, lambda e: e["o_end"]))
-    pieces = F.transform(
-        edits,
-        lambda e, k: F.concat(
-            F.slice(toks, F.get(ends, k) + 1, e["o_start"] - F.get(ends, k)),
-            tokens(e["c_str"]),
-        ),
-    )
-    tail_from = F.element_at(ends, -1)
-    rest = F.slice(toks, tail_from + 1, F.greatest(F.size(toks) - tail_from, F.lit(0)))
-    return F.array_join(F.concat(F.flatten(pieces), rest), " ")
+
+    def rebuilt(row: Column) -> Column:
+        toks, ends = row["toks"], row["ends"]
+        pieces = F.transform(
+            row["edits"],
+            lambda e, k: F.concat(
+                F.slice(toks, F.get(ends, k) + 1, e["o_start"] - F.get(ends, k)),
+                tokens(e["c_str"]),
+            ),
+        )
+        tail_from = F.element_at(ends, -1)
+        rest = F.slice(toks, tail_from + 1, F.greatest(F.size(toks) - tail_from, F.lit(0)))
+        return F.array_join(F.concat(F.flatten(pieces), rest), " ")
+
+    return bind({"toks": tokens(original), "ends": ends, "edits": edits}, rebuilt)
 
 
 def single_span(
