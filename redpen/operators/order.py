@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Largest boundary found by top-k; beyond it key prefixes are counted first.
-TOP_K_ROWS = 1_000_000
+#: Hexadecimal digits of the key that each counting pass adds.
 PREFIX_DIGITS = 4
+PASSES = 2
 
 
 def shuffle_key(seed: int, row_id: str = "sent_id") -> Column:
@@ -48,22 +48,28 @@ def head_tail_split(
 
 
 def _nth_key(keys: DataFrame, n: int) -> Column:
-    """The ``n``-th smallest key as a scalar subquery, null or the last one if there are fewer.
+    """The ``n``-th smallest key as a scalar subquery, null if there are fewer.
 
-    A small ``n`` is a top-k. For a large one the hash prefixes are counted (a
-    fixed number of buckets), and only the bucket that holds the boundary, a
-    1/16**PREFIX_DIGITS part of the rows, is ranked.
+    Each pass counts the rows per key prefix (at most 16**PREFIX_DIGITS counts)
+    and keeps the one prefix that holds the boundary. After both passes that is
+    a 1/16**8 part of the rows, whatever ``n`` is, and only these are ranked.
     """
-    if n <= TOP_K_ROWS:
-        return keys.orderBy("at").limit(n).agg(F.max("at")).scalar()
-    keys = keys.withColumn("bucket", F.substring("at.k", 1, PREFIX_DIGITS))
-    counts = keys.groupBy("bucket").agg(F.count("*").alias("n"))
+    inside = keys.withColumn("before", F.lit(0).cast("long"))
+    for done in range(PASSES):
+        inside = _edge(inside, n, PREFIX_DIGITS * (done + 1))
+    rank = F.row_number().over(W.partitionBy("before").orderBy("at")) + F.col("before")
+    return inside.withColumn("rank", rank).where(F.col("rank") == n).agg(F.max("at")).scalar()
+
+
+def _edge(inside: DataFrame, n: int, digits: int) -> DataFrame:
+    """The rows of the prefix that holds row ``n``; ``before``: how many rows lie before that prefix."""
+    inside = inside.withColumn("bucket", F.substring("at.k", 1, digits))
+    counts = inside.groupBy("bucket").agg(F.count("*").alias("n"), F.max("before").alias("base"))
     earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    placed = counts.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     edge = placed.where((F.col("before") < n) & (F.col("before") + F.col("n") >= n))
-    inside = keys.join(F.broadcast(edge.select("bucket", "before")), "bucket")
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy("at"))
-    return inside.withColumn("rank", rank + F.col("before")).where(F.col("rank") == n).agg(F.max("at")).scalar()
+    # One row at most.
+    return inside.drop("before").join(F.broadcast(edge.select("bucket", "before")), "bucket").select("at", "before")
 
 
 def prefix_take(df: DataFrame, n: int | None, order_by: str = "sent_id") -> DataFrame:

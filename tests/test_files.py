@@ -39,6 +39,32 @@ def test_m2_is_parsed(spark, tmp_path):
     assert {r.category for r in edits.collect()} == {"VERB:SVA", "DET", "ADV"}
 
 
+def test_m2_is_read_whatever_its_line_ends_and_blank_lines(spark, tmp_path):
+    (tmp_path / "a.m2").write_text(M2_TEXT)
+    plain = sorted(map(str, m2.read_m2(spark, str(tmp_path / "a.m2")).collect()))
+    loose = {
+        "crlf": M2_TEXT.replace("\n", "\r\n"),
+        "dense": M2_TEXT.replace("\n\n", "\n"),
+        "wide": "A 0 1|||R:X|||lost|||REQUIRED|||-NONE-|||0\n\n" + M2_TEXT.replace("\n\n", "\n\n\n\n"),
+    }
+    for name, text in loose.items():
+        (tmp_path / name).write_bytes(text.encode())
+        assert sorted(map(str, m2.read_m2(spark, str(tmp_path / name)).collect())) == plain
+
+
+def test_files_that_do_not_line_up_are_refused(spark, tmp_path):
+    (tmp_path / "pairs.csv").write_text("input_text,target_text\nI has it .,I have it .\nFine .,Fine .\n")
+    (tmp_path / "gold").write_text("S I has it .\nA 1 2|||R:SPELL|||have|||REQUIRED|||-NONE-|||0\n\nS Fine .\n" + m2.NOOP_LINE)
+    (tmp_path / "good").write_text("I have it .\nFine .\n")
+    (tmp_path / "short").write_text("I have it .\n")
+    path = lambda name: str(tmp_path / name)
+    score = lambda name, **kw: V.evaluate_files(spark, path("pairs.csv"), path(name), path("gold"), **kw).first()
+    assert (score("good").tp, score("good").fp, score("good").fn) == (1, 0, 1)
+    assert (score("good", ignore_noop=True).tp, score("good", ignore_noop=True).fn) == (1, 0)
+    with pytest.raises(ValueError):
+        score("short")
+
+
 def test_line_numbers_follow_file_order_over_many_splits(spark, tmp_path):
     texts = [f"line {i} " + "x" * (i % 37) for i in range(5000)]
     df = spark.createDataFrame(list(enumerate(texts)), "sent_id LONG, t STRING").repartition(7)

@@ -1,3 +1,5 @@
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,12 +22,20 @@ def test_split_parts_are_disjoint_and_complete(spark):
     assert ids(O.head_tail_split(df, 100, 42)[0]) == ids(O.seeded_head(df, 100, 42))
 
 
-def test_large_boundaries_are_found_by_counting_prefixes(spark, monkeypatch):
+@pytest.mark.parametrize("digits", (1, 4))
+def test_boundaries_are_those_of_the_sorted_keys(spark, monkeypatch, digits):
     df = spark.range(700).withColumnRenamed("id", "sent_id")
-    expected = [[ids(x) for x in O.head_tail_split(df, n, 7, 1)] for n in (1, 350, 699, 700, 900)]
-    monkeypatch.setattr(O, "TOP_K_ROWS", 0)
-    monkeypatch.setattr(O, "PREFIX_DIGITS", 1)
-    assert [[ids(x) for x in O.head_tail_split(df, n, 7, 1)] for n in (1, 350, 699, 700, 900)] == expected
+    order = sorted(range(700), key=lambda i: md5(f"7:{i}".encode()).hexdigest())
+    monkeypatch.setattr(O, "PREFIX_DIGITS", digits)
+    for n in (1, 350, 699, 700, 900):
+        head, tail = O.head_tail_split(df, n, 7, 1)
+        assert (ids(head), ids(tail)) == (set(order[:n]), set(order[n + 1 :]))
+
+
+def test_no_boundary_is_found_by_top_k(spark):
+    head, tail = O.head_tail_split(spark.range(10).withColumnRenamed("id", "sent_id"), 3, 42)
+    for part in (head, tail):
+        assert "TakeOrdered" not in part._jdf.queryExecution().executedPlan().toString()
 
 
 def test_seeds_give_other_but_repeatable_orders(spark):

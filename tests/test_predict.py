@@ -80,6 +80,21 @@ def test_frequent_key_is_spread(spark, texts):
     assert max(r["count"] for r in sizes) < 1000
 
 
+def test_one_hot_and_many_warm_keys_are_balanced(spark):
+    key = F.when(F.col("sent_id") % 10 < 3, "hot").otherwise(F.concat(F.lit("w"), F.col("sent_id") % 1000))
+    rows = spark.range(40_000).withColumnRenamed("id", "sent_id").withColumn("key", key)
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup(rows, counts.select("key", F.length("key").alias("v")), "key", F.col("sent_id"), counts)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 40_000 and max(sizes) < 2.5 * 40_000 / len(sizes)
+
+
 def test_lexicon(spark):
     rows = [("teh", "the")] * 3 + [("teh", "ten")] * 2 + [("very", "")] * 2 + [("", "a")] * 5 + [("rare", "x")]
     edits = spark.createDataFrame(rows, "o_str STRING, c_str STRING")
