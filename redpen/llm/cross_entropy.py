@@ -1,41 +1,54 @@
 """Cross-entropy difference of matched target and background bigram models.
 
-Both models share one vocabulary (the most frequent words of all documents,
-plus one class for all other words), one order and one smoothing; the target
-model is counted on the documents labelled good, the background model on all.
-A document's score is its loss per token under the target model minus that
-under the background model: lower means closer to the target.
-
-Words are counted over the whole corpus and texts become word numbers once.
-Tasks add up their bigrams before the shuffle, so a task sends at most one
-row for each pair of vocabulary words. The model is a table of
-(``vocabulary`` + 1) squared pairs: its size is fixed by that parameter, and
-it is broadcast.
+Both models share one vocabulary (every word of all documents), one order and
+one smoothing; the target model is counted on the documents labelled good, the
+background model on all. A document's score is its loss per token under the
+target model minus that under the background model: lower means closer to the
+target.
+
+What is counted grows with the corpus and is held by no single process. Texts
+become blocks of about ``BLOCK_WORDS`` word hashes. A block asks for the corpus
+counts of its distinct items: word pairs, words, and words as contexts. Equal
+items of all blocks meet in one of 2 ** ``PART_BITS`` or more parts, the first
+bits of the item's hash, are added up there, and each block gets its sums back in the order
+of its questions. A block asks for an item once however often it holds it, so a
+part never has more rows of one item than there are blocks.
 
 p(w | v) = (n(v, w) + K * p(w)) / (n(v) + K), p(w) = (n(w) + 1) / (n + size),
-with K = ``PRIOR``.
-
-A word is a run of bytes other than space and 09-0D, with A-Z lower-cased.
-Defined cases: null text is empty; a text without words has no losses and no
-score (null); without target documents the target model is uniform; equally
-frequent words enter the vocabulary in order of code points; repeated rows
-count and score each; several labels of one document count as good if one is.
+with K = ``PRIOR`` and size the number of words and one class more, which also
+stands before a text's first word.
+
+A word is a run of bytes other than space and 09-0D, with A-Z lower-cased,
+known by a 64-bit hash, an item by one of 63 bits: among 10**9 distinct items
+two share one, and add up, with a chance of 5 in 100. With ``size`` only that many of the most frequent words are told
+apart, in order of code points where equally frequent, and all others are the
+class that stands before the first word. Defined cases: null text is empty; a
+text without words has no losses and no score (null); without target documents
+the target model is uniform; repeated rows count and score each; several labels
+of one document count as good if one is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm.tables import map_slices, stored
+from redpen.llm.shingles import mixed
+from redpen.llm.tables import arrow_schema, stored
 
-VOCABULARY = 2047
 PRIOR = 50.0
-#: Distinct words a task holds before it hands their counts on.
+#: Distinct words a task holds before it hands their counts on, or forgets their hashes.
 HELD_WORDS = 400_000
+#: Words after which a block ends; a text is never cut.
+BLOCK_WORDS = 400_000
+#: Parts of the items are 2 ** this; more from that many times these words on.
+PART_BITS, PART_WORDS = 11, 2_500_000
+#: The class of other words, and what stands for any word in an item.
+OTHER, ANY = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,118 +79,203 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, size: int, text: str = "text") -> list[bytes]:
-    """The ``size`` most frequent words; the rest is one class. A top-k of a fixed size."""
+    """The ``size`` most frequent words."""
     top = word_counts(docs, text).orderBy(F.col("n").desc(), "word").limit(size)
     return [bytes(row.word) for row in top.collect()]
 
 
-def numbered(docs: DataFrame, known: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids binary``: two bytes a word, vocabulary numbers from 1, 0 for all other words."""
-    if len(known) > 0xFFFF:
-        raise ValueError("two bytes number at most 65535 words")
-    shared = docs.sparkSession.sparkContext.broadcast({word: i for i, word in enumerate(known, 1)})
+class Coder(dict):
+    """Hashes of words, remembered; ``OTHER`` for words outside ``known``."""
 
-    def make():
-        number = shared.value.get
+    def __init__(self, known: frozenset[bytes] | None):
+        self.known = known
 
-        def run(keys, texts):
-            ids = [np.array([number(w, 0) for w in words(value.as_py())], np.uint16).tobytes() for value in texts]
-            yield {key: keys, "ids": ids}
+    def __missing__(self, word: bytes) -> int:
+        told = self.known is None or word in self.known
+        code = min(max(xxhash.xxh64_intdigest(word), int(OTHER) + 1), int(ANY) - 1) if told else int(OTHER)
+        self[word] = code
+        return code
 
-        return run
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_slices(docs, [key, text], make, f"`{key}` {kind}, ids binary")
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: the empty high bytes take no room once compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
-def _pairs(encoded: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pair numbers (word before, word) of all texts end to end, and each text's number of words.
+def unpacked(planes: bytes, kind: type) -> np.ndarray:
+    rows = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(rows.T).view(kind).ravel()
 
-    The class of the other words, 0, also stands before the first word.
-    """
-    counts = pc.binary_length(encoded).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-    flat = np.frombuffer(b"".join(encoded.to_pylist()), np.uint16).astype(np.int64)
-    before = np.concatenate([[0], flat[:-1]])[: len(flat)]
-    starts = np.cumsum(counts) - counts
-    before[starts[counts > 0]] = 0
-    return before * size + flat, counts
 
+_BLOCK = "block long, n_words long, keys array<{}>, counts binary, words binary, places binary"
 
-def pair_counts(encoded: DataFrame, size: int) -> DataFrame:
-    """(pair, n, good) over all rows of (ids, target)."""
+
+def blocks(docs: DataFrame, known: list[bytes] | None, kind: str) -> DataFrame:
+    """Blocks of whole texts from (key, text): distinct word hashes, and each word's place among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(None if known is None else frozenset(known))
+    schema = _BLOCK.format(kind)
+    out = arrow_schema(schema)
 
     def run(batches):
-        total, good = np.zeros(size * size, np.int64), np.zeros(size * size, np.int64)
+        coder, first, turn = Coder(shared.value), TaskContext.get().partitionId() << 32, 0
+        keys, lists, held = [], [], 0
+
+        def made():
+            counts = np.array([len(x) for x in lists], np.int64)
+            codes, places = np.unique(np.concatenate([[OTHER], *lists]).astype(np.uint64), return_inverse=True)
+            row = [
+                first + turn, int(counts.sum()), keys, packed(counts), codes.tobytes(), packed(places[1:].astype(np.uint32))
+            ]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out)], schema=out)
+
         for batch in batches:
-            pairs, counts = _pairs(batch.column(0), size)
-            flags = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), counts)
-            np.add.at(total, pairs, 1)
-            np.add.at(good, pairs[flags], 1)
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), pa.array(total[part]), pa.array(good[part])], ["pair", "n", "good"]
-            )
+            for key, text in zip(batch.column(0), batch.column(1)):
+                own = words(text.as_py())
+                lists.append(np.fromiter(map(coder.__getitem__, own), np.uint64, len(own)))
+                keys.append(key.as_py())
+                held += len(own) + 1
+                if held >= BLOCK_WORDS:
+                    yield made()
+                    keys, lists, held, turn = [], [], 0, turn + 1
+            if len(coder) > HELD_WORDS:
+                coder.clear()
+        if keys:
+            yield made()
+
+    return docs.mapInArrow(run, schema)
+
+
+class Block:
+    """A block's items, in the order in which it asks for them."""
+
+    def __init__(self, counts: bytes, words: bytes, places: bytes):
+        self.counts = unpacked(counts, np.int64)
+        codes, self.after = np.frombuffer(words, np.uint64), unpacked(places, np.uint32).astype(np.int64)
+        self.size = len(codes)
+        self.before = np.concatenate([[0], self.after[:-1]])[: len(self.after)]
+        starts = np.cumsum(self.counts) - self.counts
+        self.before[starts[self.counts > 0]] = 0
+        pairs, self.pair = np.unique(self.before * self.size + self.after, return_inverse=True)
+        any_word = np.full(self.size, ANY)
+        self.n_pairs = len(pairs)
+        v = np.concatenate([codes[pairs // self.size], codes, any_word])
+        w = np.concatenate([codes[pairs % self.size], any_word, codes])
+        # The last bit tells words from the other items.
+        self.item = mixed(v ^ mixed(w)) >> np.uint64(1) << np.uint64(1) | (v == ANY)
+        self.order = np.argsort(self.item, kind="stable")
+
+    def totals(self, weights: np.ndarray | None = None) -> np.ndarray:
+        count = lambda places, size: np.bincount(places, weights, size)
+        own = [count(self.pair, self.n_pairs), count(self.before, self.size), count(self.after, self.size)]
+        return np.concatenate(own).astype(np.uint32)
+
+    def split(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word of the block: n(v, w), n(v) and n(w), from the sums in order of the questions."""
+        placed = np.empty(len(sums))
+        placed[self.order] = sums
+        pairs, contexts, singles = np.split(placed, [self.n_pairs, self.n_pairs + self.size])
+        return pairs[self.pair], contexts[self.before], singles[self.after]
+
+
+_WORDS = ["counts", "words", "places"]
+
+
+def targets(made: DataFrame, good: DataFrame) -> DataFrame:
+    """(block, good): the places of the target texts in each block that has any. Only keys are shuffled."""
+    rows = made.select("block", F.posexplode("keys").alias("place", "own_key"))
+    rows = rows.join(good.hint("merge"), F.col("own_key") == F.col("good_key"))
+    return rows.groupBy("block").agg(F.collect_list("place").alias("good"))
+
+
+def questions(made: DataFrame, bits: int) -> DataFrame:
+    """(part, block, items, n, good): a block's items of one part, and how often it holds them."""
 
-    rows = encoded.select("ids", "target").mapInArrow(run, "pair long, n long, good long")
-    return rows.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                block = Block(*(row[c] for c in _WORDS))
+                flags = np.zeros(len(block.counts))
+                flags[row["good"] or []] = 1
+                sums = block.totals(), block.totals(np.repeat(flags, block.counts))
+                items, n, good = (x[block.order] for x in (block.item, *sums))
+                part = (items >> np.uint64(64 - bits)).astype(np.int32)
+                starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)]))
+                columns = [pa.array(part[starts]), pa.array(np.full(len(starts), row["block"], np.int64))]
+                columns += [pa.array([packed(x[a:b]) for a, b in spans], pa.binary()) for x in (items, n, good)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "items", "n", "good"])
+
+    return made.select("block", *_WORDS, "good").mapInArrow(run, "part int, block long, items binary, n binary, good binary")
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """Sums over all blocks for each row's items, and on the first row how many are words and how often these occur."""
+    kinds = {"items": np.uint64, "n": np.uint32, "good": np.uint32}
+    lists = [[unpacked(x, kind) for x in table[c].to_pylist()] for c, kind in kinds.items()]
+    items, place = np.unique(np.concatenate(lists[0]), return_inverse=True)
+    ends = np.cumsum([len(x) for x in lists[0]])[:-1]
+    single = items & np.uint64(1) > 0
+    columns, totals = [], [np.count_nonzero(single)]
+    for own in lists[1:]:
+        sums = np.bincount(place, np.concatenate(own)).astype(np.int64)
+        totals.append(int(sums[single].sum()))
+        columns.append(pa.array([packed(x) for x in np.split(sums[place], ends)], pa.binary()))
+    columns += [pa.array([total, *[0] * (table.num_rows - 1)], pa.int64()) for total in totals]
+    return pa.table([table["part"], table["block"], *columns], ["part", "block", "n", "good", "classes", "n_words", "n_good"])
+
+
+def loss(pair: np.ndarray, context: np.ndarray, single: np.ndarray, total: float, size: int, prior: float = PRIOR) -> np.ndarray:
+    """-log p(w | v) from n(v, w), n(v), n(w) and the numbers of all words and classes."""
+    base = (single + 1.0) / (total + size)
+    return -np.log((pair + prior * base) / (context + prior))
 
 
 def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """-log p(w | v) of a square table of pair counts."""
     single = counts.sum(axis=0)
-    base = (single + 1.0) / (single.sum() + len(single))
-    context = counts.sum(axis=1, keepdims=True)
-    return -np.log((counts + prior * base) / (context + prior))
+    return loss(counts, counts.sum(axis=1, keepdims=True), single, single.sum(), len(single), prior)
 
 
 def score(
     docs: DataFrame,
     good: DataFrame,
-    size: int = VOCABULARY,
+    size: int | None = None,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """Per row: words, loss per word under both models, and the difference.
 
-    ``good`` lists the target documents' keys. Texts are not shuffled; their
-    word numbers are, once, to learn which are targets.
+    ``good`` lists the target documents' keys. Texts are not shuffled.
     """
-    known = vocabulary(docs, size, text)
-    side = len(known) + 1
-    ours = good.select(F.col(key).alias("good_key")).distinct()
-    encoded = numbered(docs, known, key, text)
-    encoded = encoded.join(ours.hint("merge"), F.col(key) == F.col("good_key"), "left")
-    encoded = stored(encoded.select(key, "ids", F.col("good_key").isNotNull().alias("target")), "numbered")
-
-    table = pair_counts(encoded, side).toArrow()  # at most side * side rows
-    all_pairs, good_pairs = np.zeros(side * side), np.zeros(side * side)
-    places = table["pair"].to_numpy()
-    all_pairs[places], good_pairs[places] = table["n"].to_numpy(), table["good"].to_numpy()
-    model = tuple(losses(c.reshape(side, side)).astype(np.float32).ravel() for c in (good_pairs, all_pairs))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        target, background = shared.value
-
-        def run(keys, lists):
-            pairs, counts = _pairs(lists, side)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            means = [
-                np.bincount(owner, model[pairs], len(counts)) / np.maximum(counts, 1) for model in (target, background)
-            ]
-            none = counts == 0
-            yield {
-                key: keys,
-                "n_tokens": pa.array(counts),
-                "target_loss": pa.array(means[0], mask=none),
-                "background_loss": pa.array(means[1], mask=none),
-                "score": pa.array(means[0] - means[1], mask=none),
-            }
-
-        return run
-
+    known = None if size is None else vocabulary(docs, size, text)
     kind = docs.schema[key].dataType.simpleString()
+    made = stored(blocks(docs.select(key, text), known, kind), "blocks")
+    ours = stored(targets(made, good.select(F.col(key).alias("good_key")).distinct()), "targets")
+    bits = max(PART_BITS, ((made.agg(F.sum("n_words")).first()[0] or 0) // PART_WORDS).bit_length())
+
+    answers = questions(made.join(ours, "block", "left"), bits).groupBy("part").applyInArrow(
+        _answers, "part int, block long, n binary, good binary, classes long, n_words long, n_good long"
+    )
+    answers = stored(answers, "answers")
+    # Every block asks for the class of other words too.
+    classes, n_all, n_good = (x or 0 for x in answers.agg(*map(F.sum, ("classes", "n_words", "n_good"))).first())
     out = f"`{key}` {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return map_slices(encoded, [key, "ids"], make, out)
+    fields = arrow_schema(out)
+
+    def scored(mine: pa.Table, sums: pa.Table) -> pa.Table:
+        row = mine.to_pylist()[0]
+        block = Block(*(row[c] for c in _WORDS))
+        sums = sums.sort_by("part")
+        owner, none = np.repeat(np.arange(len(block.counts)), block.counts), block.counts == 0
+        means = []
+        for column, total in (("good", n_good), ("n", n_all)):
+            got = np.concatenate([unpacked(x, np.int64) for x in sums[column].to_pylist()])
+            own = np.bincount(owner, loss(*block.split(got), total, classes), len(none))
+            means.append(own / np.maximum(block.counts, 1))
+        columns = [pa.array(row["keys"], fields[0].type), pa.array(block.counts)]
+        columns += [pa.array(x, mask=none) for x in (*means, means[0] - means[1])]
+        return pa.table(columns, schema=fields)
+
+    asked = made.select("block", "keys", *_WORDS).groupBy("block")
+    return asked.cogroup(answers.select("block", "part", "n", "good").groupBy("block")).applyInArrow(scored, out)

@@ -1,8 +1,10 @@
 """Operators on single texts against brute force and their defined cases."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -167,6 +169,32 @@ def test_cross_entropy_by_brute_force(spark, docs):
         assert found[i].score == (pytest.approx(expected, abs=1e-6) if own else None)
 
 
+def test_cross_entropy_tells_all_words_apart(monkeypatch, spark):
+    monkeypatch.setattr(cross_entropy, "BLOCK_WORDS", 700)
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randrange(4000)}" for _ in range(rnd.randrange(120)))) for i in range(100)] + [(100, None)]
+    chosen = set(range(0, 100, 3))
+    good = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    found = by_id(cross_entropy.score(spark.createDataFrame(rows, "doc_id long, text string"), good))
+    pairs = {i: list(zip([None, *(t or "").split()], (t or "").split())) for i, t in rows}
+    size = len({w for own in pairs.values() for _, w in own}) + 1
+    assert size > 2500
+
+    def model(ids):
+        both = [p for i in ids for p in pairs[i]]
+        n, before, after = Counter(both), Counter(v for v, _ in both), Counter(w for _, w in both)
+        base = lambda w: (after[w] + 1) / (len(both) + size)
+        return lambda v, w: -math.log((n[v, w] + 50 * base(w)) / (before[v] + 50))
+
+    target, background = model(chosen), model(pairs)
+    assert set(found) == set(pairs)
+    for i, own in pairs.items():
+        row = found[i]
+        assert row.n_tokens == len(own)
+        for got, loss in ((row.target_loss, target), (row.background_loss, background)):
+            assert got == (pytest.approx(sum(loss(*p) for p in own) / len(own)) if own else None)
+
+
 def test_losses_are_probabilities():
     counts = np.random.Generator(np.random.PCG64(1)).integers(0, 9, (6, 6)).astype(float)
     assert np.exp(-cross_entropy.losses(counts)).sum(axis=1) == pytest.approx(1)
