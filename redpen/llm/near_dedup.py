@@ -2,8 +2,8 @@
 
 1. Narrow pass: each text's set of distinct word shingles gives its size, a
    128-bit digest, a MinHash signature (a byte a value) and its band hashes.
-2. Equal sets form a class (partial aggregation by digest); its smallest id
-   stands for it from here on.
+2. Equal sets form a class (partial aggregation by digest); the smallest
+   written row number, called doc_id in the inner steps, stands for it.
 3. Classes in one band bucket are candidates. Their signatures are compared
    batch by batch; with a uniform prior the similarity's posterior after m of
    n matches is Beta(m + 1, n - m + 1), and a pair is dropped as soon as the
@@ -16,15 +16,18 @@
    and exact checks. A task leaves out pairs that its own links already
    connect and hands on the others, fewer than its rows. Comparing a group
    costs time with the square of its size, at tens of nanoseconds a pair.
-4. Components of the links, by alternating stars.
+4. Components of the links, by alternating stars. Each is led by its row with
+   the smallest id.
 
 Nothing is capped: every candidate is compared or already connected. With 32
 bands of 4, a pair of similarity 0.8 misses all buckets once in 2 * 10**7.
 
 Defined cases: null text and text without words have an empty set, no links,
 and are kept; fewer words than the shingle's width are one shingle; ties go
-to the smallest id; rows that repeat an id are one document; other columns
-are not read; an empty table gives no rows; texts may have any length.
+to the smallest id, null last, then by the text's digest; rows that repeat an
+id and a text are one document, but wordless rows with a null id are one each;
+rows with a null id, or one id and different texts, are different documents; a
+component of null ids has a null component_id; other columns are not read; an empty table gives no rows; texts may have any length.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.llm.components import components
@@ -65,14 +68,19 @@ def fewest_matches(threshold: float, size: int, batch: int, miss: float) -> list
     return table
 
 
+def _tag(text: str) -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """doc_id, n, digest, signature and band hashes of every row. Narrow: texts go no further."""
+    """doc_id, tag, n, digest, signature and band hashes of every row. Narrow: texts go no further."""
 
     def make():
         shingler, signer = Shingler(width), Signer(BANDS * ROWS)
 
-        def run(keys, texts):
-            made = {"doc_id": keys, "n": [], "digest": [], "signature": [], "bands": []}
+        def run(keys, tags, texts):
+            made = {"doc_id": keys, "tag": tags, "n": [], "digest": [], "signature": [], "bands": []}
             for value in texts:
                 shingles = shingler.shingles(value.as_py())
                 made["n"].append(len(shingles))
@@ -88,8 +96,9 @@ def sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
 
         return run
 
-    schema = "doc_id long, n long, digest binary, signature binary, bands binary"
-    return map_slices(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), ["doc_id", "text"], make, schema)
+    schema = "doc_id long, tag binary, n long, digest binary, signature binary, bands binary"
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), _tag(text).alias("tag"), F.col(text).alias("text"))
+    return map_slices(own, ["doc_id", "tag", "text"], make, schema)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -205,9 +214,10 @@ def _block_links(rows: DataFrame, percent: int, least: list[tuple[int, int]]) ->
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """Full sets of the wanted ids' texts, from the texts once more."""
-    bodies = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bodies = bodies.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Full sets of the texts of the wanted rows (doc_id, own_id, tag), from the texts once more."""
+    bodies = docs.select(F.col(key).cast("long").alias("id"), _tag(text).alias("own_tag"), F.col(text).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("own_tag") == F.col("tag"))
+    bodies = bodies.join(wanted.hint("merge"), same).dropDuplicates(["doc_id"])
 
     def make():
         shingler = Shingler(width)
@@ -218,20 +228,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
     return map_slices(bodies, ["doc_id", "text"], make, "doc_id long, shingles binary")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    width: int = 5,
-    percent: int = 80,
-    miss: float = 1e-4,
-    key: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest reachable id) and kept."""
+def _decided(docs: DataFrame, width: int, percent: int, miss: float, key: str, text: str) -> DataFrame:
+    """Per row: doc_id, tag, n_shingles, component_id and kept."""
     least = fewest_matches(percent / 100, BANDS * ROWS, BATCH, miss)
-    rows = stored(sketches(docs, width, key, text), "sketches")
+    rows = sketches(docs, width, key, text).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "sketches")
     # Equal sets have equal sizes, signatures and bands, so any row's will do.
+    lead = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("own_id"), "tag", "row")
     classes = rows.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "signature", "bands")]
+        F.min("row").alias("doc_id"), F.min(lead).alias("lead"), *[F.first(c).alias(c) for c in ("n", "signature", "bands")]
     )
     classes = stored(classes, "classes")
     buckets = stored(_buckets(classes), "buckets")
@@ -244,25 +249,48 @@ def near_duplicates(
 
     wanted = survivors.select(F.col("a").alias("doc_id")).unionByName(survivors.select(F.col("b").alias("doc_id")))
     wanted = wanted.unionByName(blocks.select(F.col("node").alias("doc_id"))).distinct()
+    wanted = classes.select("doc_id", "lead.own_id", "lead.tag").join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = stored(_sets(docs, wanted, width, key, text), "sets")
     members = blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     members = members.join(marks.hint("merge"), "doc_id").join(sets.hint("merge"), "doc_id")
     links = _exact(survivors, sets, percent).unionByName(_block_links(members, percent, least))
     linked = stored(components(links), "components")
 
-    reached = classes.select("digest", "doc_id").join(linked.hint("merge"), F.col("doc_id") == F.col("node"), "left")
-    reached = reached.select("digest", F.coalesce("component", "doc_id").alias("reached"))
+    reached = classes.select("digest", "doc_id", "lead").join(linked.hint("merge"), F.col("doc_id") == F.col("node"), "left")
+    reached = reached.select("digest", "lead", F.coalesce("component", "doc_id").alias("reached"))
+    first = reached.groupBy("reached").agg(F.min("lead").alias("first"))
+    reached = reached.join(first.hint("merge"), "reached").select("digest", "first")
     # Adaptive execution splits the rows of a digest that holds many copies.
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(reached.hint("merge"), "digest", "left")
-    component = F.coalesce("reached", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    out = rows.select("doc_id", "tag", "row", F.col("n").alias("n_shingles"), "digest").join(reached.hint("merge"), "digest", "left")
+    alone = F.col("first").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.own_id"))
+    kept = alone | (F.col("first.row") == F.col("row"))
+    return out.select("doc_id", "tag", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    miss: float = 1e-4,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest reachable id) and kept."""
+    return _decided(docs, width, percent, miss, key, text).drop("tag")
+
+
+def keep_first(
+    docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-4, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One document of each component, with all its columns whatever their names."""
-    kept = near_duplicates(docs, key=key, text=text, **settings).where("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = _decided(docs, width, percent, miss, key, text).where("kept")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag"), (F.col("n_shingles") == 0).alias("wordless"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    own = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    stays = own.join(kept.distinct().hint("merge"), F.col(names[key]).cast("long") == F.col("kept_id"), "left_semi")
-    stays = stays.dropDuplicates([names[key]])
+    own = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("own_tag", _tag(names[text]))
+    same = F.col(names[key]).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_tag") == F.col("kept_tag"))
+    stays = own.join(kept.distinct().hint("merge"), same)
+    single = F.col("wordless") & F.col(names[key]).isNull()
+    stays = stays.withColumn("turn", F.when(single, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    stays = stays.dropDuplicates([names[key], "own_tag", "turn"])
     return stays.select([F.col(n).alias(c) for c, n in names.items()])

@@ -100,6 +100,25 @@ def test_keep_first(spark, docs, rows):
     assert near_dedup.keep_first(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_document(spark):
+    base = [f"a{i}" for i in range(60)]
+    near = " ".join([*base[:59], "b"])
+    unique = [" ".join(f"{c}{i}" for i in range(30)) for c in "uvwx"]
+    rows = [
+        (None, unique[0], 0), (None, unique[1], 1), (None, unique[1], 2), (None, None, 3), (None, "", 4),
+        (5, unique[2], 5), (5, unique[3], 6), (5, unique[3], 7), (None, near, 8), (9, " ".join(base), 9),
+        (3, None, 10), (3, None, 11),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = sorted((str(r.doc_id), str(r.text)) for r in near_dedup.keep_first(df).collect())
+    expected = [(None, unique[0]), (None, unique[1]), (None, None), (None, ""), (5, unique[2]), (5, unique[3]), (9, " ".join(base)), (3, None)]
+    assert kept == sorted((str(i), str(t)) for i, t in expected)
+    found = near_dedup.near_duplicates(df).collect()
+    assert len(found) == len(rows) and all(r.kept is not None for r in found)
+    assert sorted(str(r.component_id) for r in found if r.n_shingles > 30) == ["9", "9"]
+    assert [r.doc_id for r in found if r.n_shingles > 30 and r.kept] == [9]
+
+
 def test_pruning_keeps_likely_pairs():
     table = near_dedup.fewest_matches(0.8, 128, 32, 1e-4)
     assert [n for n, _ in table] == [32, 64, 96, 128]
