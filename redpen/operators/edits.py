@@ -181,8 +181,8 @@ def single_span(
     rest = lambda side: F.slice(F.col(side), F.col("o_start") + 1, F.size(side) - F.col("o_start"))
     cut = lambda side: F.slice(F.col(side), F.lit(1), F.size(side) - F.col("_tail"))
     return (
-        pairs.where(F.col(original) != F.col(corrected))
-        .select(*keys, tokens(F.col(original)).alias("_o"), tokens(F.col(corrected)).alias("_c"))
+        pairs.where(filled(original) != filled(corrected))
+        .select(*keys, tokens(filled(original)).alias("_o"), tokens(filled(corrected)).alias("_c"))
         .where(F.col("_o") != F.col("_c"))
         .withColumn("o_start", _common_run(F.col("_o"), F.col("_c")))
         .withColumns({"_or": rest("_o"), "_cr": rest("_c")})

@@ -116,3 +116,9 @@ def test_feature_rules(spark):
     got = C.classify_with_features(E.extract_edits(texts), words, features).collect()
     named = {r.sent_id: r.category for r in got}
     assert [named[i] for i in range(len(FEATURES))] == [f[4] for f in FEATURES]
+
+
+def test_single_span_of_null_text(spark):
+    rows = [(1, "a b", None), (2, None, "c"), (3, None, None), (4, None, "")]
+    found = E.single_span(spark.createDataFrame(rows, "sent_id int, original string, corrected string")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 0, 2, "a b", ""), (2, 0, 0, "", "c")]
