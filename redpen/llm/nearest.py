@@ -4,7 +4,10 @@ A table rotates unit vectors by three rounds of random signs and a fast
 Hadamard transform; the nearest signed axis is a vector's bucket. A query
 looks into its ``probes`` nearest axes of every table. Candidates are reranked
 by their exact inner products on the original vectors, summed from the first
-component to the last in double precision.
+component to the last in double precision. Where norms differ, candidates are
+hashed with one component more that makes them equal, and queries with a zero
+there, so that the nearest angle is the largest inner product. A query that
+found fewer than ``k`` of the candidates there are meets all of them.
 
 Equal vectors are one class, of which only the ``k`` + 1 smallest ids can ever
 be reported; they are found with a limit inside each task before the shuffle.
@@ -15,7 +18,7 @@ A task keeps the best ``k`` + 1 ids of each query, so results stay small.
 Defined cases: vectors that are null, empty, zero or hold null, NaN or
 infinite components take no part, as queries or candidates; vectors of
 different lengths never meet; ties go to the smaller id; rows that repeat an
-id count once; with fewer than ``k`` candidates all found are returned; other
+id count once; with fewer than ``k`` candidates all are returned; other
 columns are not read.
 """
 
@@ -70,7 +73,25 @@ def usable(vector: str) -> Column:
     return value.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(value, lambda x: x != 0)
 
 
-def _placed(classes: DataFrame, tables: int, probes: int) -> DataFrame:
+def _longest(classes: DataFrame) -> dict[int, float]:
+    """The largest norm of each length whose vectors' norms differ: a row for each length."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    norms = classes.select(F.size("vector").alias("dim"), norm.alias("norm")).groupBy("dim")
+    found = norms.agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    return {r.dim: r.most for r in found.collect() if r.least < r.most * (1 - 1e-6)}
+
+
+def _lifted(vectors: np.ndarray, longest: float | None, asks: bool) -> np.ndarray:
+    """Unit vectors; with ``longest``, of one component more by which the candidates' norms become equal."""
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    if longest is None:
+        return vectors / norms
+    if asks:
+        return np.column_stack([vectors / norms, np.zeros(len(vectors))])
+    return np.column_stack([vectors / longest, np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))])
+
+
+def _placed(classes: DataFrame, tables: int, probes: int, longest: dict[int, float], asks: bool) -> DataFrame:
     """(dim, table, code, class_id, vector, ids): one row for each table and probe."""
 
     def make():
@@ -80,7 +101,7 @@ def _placed(classes: DataFrame, tables: int, probes: int) -> DataFrame:
                 mine = np.flatnonzero(sizes == dim)
                 rows = pa.array(mine)
                 vectors = lists.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim).astype(np.float64)
-                unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                unit = _lifted(vectors, longest.get(int(dim)), asks)
                 for table in range(tables):
                     codes = nearest_axes(rotated(unit, table), probes)
                     again = pa.array(np.repeat(mine, codes.shape[1]))
@@ -125,6 +146,27 @@ def _best(group: pa.Table, k: int) -> pa.Table:
     return pa.table({"class_id": pa.array(out_ids, pa.int64()), "best": pa.array(out_best, kind)})
 
 
+def _met(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(class_id, best): each query's ``k`` + 1 best ids in the buckets it visits."""
+    # At most two rows for each component and table.
+    counts = index.groupBy("dim", "table", "code").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    counts = F.broadcast(stored(counts, "buckets"))
+    index = index.join(counts, ["dim", "table", "code"])
+    index = index.withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
+    queries = queries.join(counts, ["dim", "table", "code"])
+    queries = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ["dim", "table", "code", "chunk", "class_id", "vector", "ids", "asks"]
+    met = index.select(*columns).unionByName(queries.select(*columns))
+    best = met.groupBy("dim", "table", "code", "chunk").applyInArrow(
+        lambda group: _best(group, k), "class_id long, best array<struct<far:double,id:long>>"
+    )
+    # A query's lists meet once; an id found in several tables has the same score in each.
+    found = best.repartition("class_id").select("class_id", F.explode("best").alias("hit"))
+    found = found.groupBy("class_id", F.col("hit.id").alias("id")).agg(F.min("hit.far").alias("far"))
+    found = found.withColumn("turn", F.row_number().over(W.partitionBy("class_id").orderBy("far", "id")))
+    return found.where(F.col("turn") <= k + 1).groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("best"))
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -147,27 +189,23 @@ def search(
     classes = ids.join(asked, "vector").select(F.element_at("ids", 1).alias("class_id"), "vector", "ids", "asks")
     classes = stored(classes, "vector-classes")
 
-    index = _placed(classes, tables, 1).withColumn("asks", F.lit(False))
+    longest = _longest(classes)
+    index = _placed(classes, tables, 1, longest, False).withColumn("asks", F.lit(False))
     none = F.array().cast("array<bigint>")
-    queries = _placed(classes.where("asks"), tables, probes).withColumns({"ids": none, "asks": F.lit(True)})
-    # At most two rows for each component and table.
-    counts = index.groupBy("dim", "table", "code").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    counts = F.broadcast(stored(counts, "buckets"))
-    index = index.join(counts, ["dim", "table", "code"])
-    index = index.withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
-    queries = queries.join(counts, ["dim", "table", "code"])
-    queries = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    columns = ["dim", "table", "code", "chunk", "class_id", "vector", "ids", "asks"]
-    met = index.select(*columns).unionByName(queries.select(*columns))
-    best = met.groupBy("dim", "table", "code", "chunk").applyInArrow(
-        lambda group: _best(group, k), "class_id long, best array<struct<far:double,id:long>>"
-    )
-    # A query's lists meet once; an id found in several tables has the same score in each.
-    found = best.repartition("class_id").select("class_id", F.explode("best").alias("hit"))
-    found = found.groupBy("class_id", F.col("hit.id").alias("id")).agg(F.min("hit.far").alias("far"))
-    found = found.withColumn("turn", F.row_number().over(W.partitionBy("class_id").orderBy("far", "id")))
-    merged = found.where(F.col("turn") <= k + 1).groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("best"))
-    merged = stored(merged, "nearest")
+    queries = _placed(classes.where("asks"), tables, probes, longest, True).withColumns({"ids": none, "asks": F.lit(True)})
+    merged = stored(_met(index, queries, k), "nearest")
+
+    there = rows.groupBy(F.size("vector").alias("dim")).agg(F.countDistinct("id").alias("there"))
+    got = merged.select("class_id", F.size("best").alias("got"))
+    short = classes.where("asks").join(got, "class_id", "left").withColumn("dim", F.size("vector")).join(there, "dim")
+    short = short.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), F.col("there")))
+    short = stored(short.select("dim", "class_id", "vector"), "short")
+    if not short.isEmpty():
+        one = {"table": F.lit(0), "code": F.lit(0)}
+        everything = classes.withColumns({"dim": F.size("vector"), "asks": F.lit(False)} | one)
+        everything = everything.join(short.select("dim").distinct(), "dim", "left_semi")
+        exact = _met(everything, short.withColumns({"ids": none, "asks": F.lit(True)} | one), k)
+        merged = merged.join(short.select("class_id"), "class_id", "left_anti").unionByName(exact)
 
     query_rows = rows.where("asks").select("id", "vector").distinct()
     query_rows = query_rows.join(classes.where("asks").select("class_id", "vector"), "vector").select("id", "class_id")

@@ -195,6 +195,20 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_completes_few_candidates_and_long_vectors(spark):
+    random_ = np.random.Generator(np.random.PCG64(5))
+    vectors = random_.normal(size=(10, 64))
+    vectors[3] *= 20
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest.search(df, F.lit(True), k=20).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    scores = vectors @ vectors.T
+    assert found == {q: [i for i in np.argsort(-scores[q]).tolist() if i != q] for q in range(10)}
+    unit = nearest._lifted(vectors, np.linalg.norm(vectors, axis=1).max(), False)
+    assert np.linalg.norm(unit, axis=1) == pytest.approx(1)
+
+
 def test_pipeline_applies_its_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
