@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from redpen.llm import bpe, cross_entropy, html_text, licenses, mixing, near_dedup, nearest, repetition, sharding, toxicity
+from redpen.llm import (
+    bpe,
+    cross_entropy,
+    html_text,
+    licenses,
+    mixing,
+    near_dedup,
+    nearest,
+    prefix_trie,
+    repetition,
+    sharding,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from redpen.llm.tables import read
 
 
@@ -55,6 +69,18 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def judged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_toxicity": toxic_documents,
@@ -66,5 +92,12 @@ QUERIES = {
     "op8_mixing": mixed_sources,
     "op9_minhash_dedup": minhash_near_dedup,
     "op10_lm_scoring": lm_scoring,
+    "op11_vector_codes": compressed_vectors,
+    "op12_prefix_trie": conversation_trie,
+    "op13_url_filter": judged_urls,
+}
+ORACLE: dict[str, str] = {
+    "op8_mixing": mixing.mix_sql(),
+    "op11_vector_codes": vector_codes.compress_sql(),
+    "op12_prefix_trie": prefix_trie.trie_sql(),
 }
-ORACLE: dict[str, str] = {"op8_mixing": mixing.mix_sql()}
