@@ -162,7 +162,8 @@ def train(rows: DataFrame, counts: np.ndarray, urls: int = TRAIN_URLS) -> GBTCla
     label = F.max((F.col("by_rule") == BLOCK).cast("double")).alias("label")
     sample = labelled.where(chosen).groupBy("url", "host", "path").agg(label)
     # Bounded, so one ordered file: the same trees in each run.
-    sample = stored(with_features(sample, counts, known=True).select("url", "label", "features").coalesce(1).sort("url"), "urls")
+    sample = with_features(sample, counts, known=True).select("url", "label", "features")
+    sample = stored(sample.repartition(1).sortWithinPartitions("url"), "urls")
     if sample.agg(F.count_distinct("label")).first()[0] < 2:
         return None
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED)
