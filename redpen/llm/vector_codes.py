@@ -40,8 +40,11 @@ from redpen.llm.tables import map_slices, stored
 from redpen.operators.skew import lookup
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-#: Coordinates that all entries of a codebook are compared on before the first are left out.
-FIRST = 2
+#: Share of the coordinates on which all entries are compared before the first are left out: for
+#: unlike vectors, gathering the many entries still in earlier costs more than adding up.
+FIRST = 0.75
+#: Vectors compared with a codebook at once, so that their sums stay in the cache.
+AT_ONCE = 128
 
 
 def usable(vector: str) -> Column:
@@ -107,20 +110,25 @@ def spectrum(rows: np.ndarray) -> np.ndarray:
 def nearest(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per point of a spectrum: the index of its nearest entry, and D times the squared distance."""
     size = points.shape[1]
-    first = min(FIRST, size)
-    gathered = np.zeros((len(points), len(entries)), np.int64)
+    peak = max((int(np.abs(x).max()) for x in (points, entries) if x.size), default=0)
+    if size * (2 * peak) ** 2 < 2**31:  # half the memory where all sums fit
+        points, entries = points.astype(np.int32), entries.astype(np.int32)
+    first = max(1, int(size * FIRST))
+    gathered = np.zeros((len(points), len(entries)), points.dtype)
+    off = np.empty_like(gathered)
     for at in range(first):
-        off = points[:, at, None] - entries[None, :, at]
-        gathered += off * off
+        np.subtract.outer(points[:, at], entries[:, at], out=off)
+        np.multiply(off, off, out=off)
+        gathered += off
     likely = points - entries[gathered.argmin(axis=1)]
-    limit = (likely * likely).sum(axis=1)
+    limit = (likely * likely).sum(axis=1, dtype=points.dtype)
     row, entry = np.nonzero(gathered <= limit[:, None])
     sums = gathered[row, entry]
     at = first
     while at < size:
-        to = min(2 * at, size)
+        to = min(at + max(1, (size - at) // 2), size)
         off = points[row, at:to] - entries[entry, at:to]
-        sums = sums + (off * off).sum(axis=1)
+        sums = sums + (off * off).sum(axis=1, dtype=points.dtype)
         alive = sums <= limit[row]
         row, entry, sums, at = row[alive], entry[alive], sums[alive], to
     # Pairs are in order of point and entry, and every point still has one.
@@ -134,8 +142,12 @@ def nearest(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.nda
 def coded(rows: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per vector and part: the nearest entry of ``books`` (part, entry, place) and its squared distance."""
     width = books.shape[2]
-    found = [nearest(spectrum(rows[:, p * width : (p + 1) * width]), spectrum(book)) for p, book in enumerate(books)]
-    codes, distances = (np.stack(x, axis=1) for x in zip(*found))
+    codes, distances = (np.zeros((len(rows), len(books)), np.int64) for _ in range(2))
+    for p, book in enumerate(books):
+        points, entries = spectrum(rows[:, p * width : (p + 1) * width]), spectrum(book)
+        for at in range(0, len(rows), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            codes[part, p], distances[part, p] = nearest(points[part], entries)
     return codes, distances // padded_size(width)
 
 
