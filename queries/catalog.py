@@ -295,6 +295,18 @@ def extract_edits_equal(spark, sf):
     return _edits(spark, sf, "all-equal")
 
 
+@query
+def extract_edits_likeness(spark, sf):
+    """Every operation by itself: alike words replace each other, moved blocks are one."""
+    return E.extract_edits(X.phrases(spark, sf), merge="all-split", cost="likeness", compare_first=False)
+
+
+@query
+def extract_edits_rules(spark, sf):
+    """Operations joined by rules."""
+    return E.extract_edits(X.phrases(spark, sf), merge="rules", cost="likeness", compare_first=False)
+
+
 @query
 def edit_ops_count(spark, sf):
     return _edits(spark, sf, "all-merge").groupBy("op").agg(F.count("*").alias("n"))

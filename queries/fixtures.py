@@ -5,7 +5,9 @@ The Spark and the SQL form of each fixture build the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redpen.functions.text import replace_all
@@ -198,3 +200,84 @@ def token_features(tokens_by_side: DataFrame) -> DataFrame:
     return tokens_by_side.select(
         "sent_id", "side", "tok_no", lemma.alias("lemma"), pos.alias("pos"), tag.alias("tag")
     )
+
+
+# Errors of several kinds in every whole block of so many words.
+BLOCK = 20
+#: Added to words that change places, so that none looks like its neighbour.
+UNLIKE = {9: "xxzz", 12: "xxzz", 13: "kkvv"}
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose words carry their place, so that each occurs once, with errors that rules tell apart.
+
+    In each block: two alike words next to each other, a repeated determiner, two words in
+    the wrong order, one moved over two others, a wrong word with a missing comma, and a possessive.
+    """
+    def placed(word, k):
+        ending = F.lit("")
+        for p, letters in UNLIKE.items():
+            ending = F.when(k % BLOCK == p, letters).otherwise(ending)
+        return F.concat(word, k.cast("string"), ending)
+
+    words = F.transform(F.filter(F.split("line", r"\s+"), lambda w: w != ""), placed)
+    rows = lines(spark, sf_dir).select("sent_id", words.alias("w"))
+
+    def side(kinds: dict[int, Callable]) -> Column:
+        def made(word, k):
+            place = k % BLOCK
+            whole = k - place + BLOCK <= F.size("w")
+            at = lambda step: F.get(F.col("w"), k + step)
+            chosen = F.when(~whole, F.array(word))
+            for p, build in kinds.items():
+                chosen = chosen.when(place == p, F.array(*build(word, at)))
+            return chosen.otherwise(F.array(word))
+
+        return F.array_join(F.flatten(F.transform("w", made)), " ")
+
+    with_s = lambda word, at: [F.concat(word, F.lit("s"))]
+    the = F.lit("the")
+    original = {
+        2: with_s, 3: with_s, 6: lambda word, at: [the, the, word],
+        9: lambda word, at: [at(1)], 10: lambda word, at: [at(-1)],
+        12: lambda word, at: [at(2)], 13: lambda word, at: [at(-1)], 14: lambda word, at: [at(-1)],
+        17: lambda word, at: [F.lit("qqq")], 19: with_s,
+    }
+    corrected = {17: lambda word, at: [word, F.lit(",")], 19: lambda word, at: [word, F.lit("'s")]}
+    return rows.select("sent_id", side(original).alias("original"), side(corrected).alias("corrected"))
+
+
+def phrase_edits_sql(split: bool) -> str:
+    """The planted edits from the words alone; ``split``: each operation by itself, moved blocks whole."""
+    w = lambda *places: " || ' ' || ".join(f"w[{BLOCK} * b + {p + 1}]" for p in places)
+    planted = [
+        (2, 3, 2, 3, f"{w(2)} || 's'", w(2)),
+        (3, 4, 3, 4, f"{w(3)} || 's'", w(3)),
+        *([(6, 7, 6, 6, "'the'", "''"), (7, 8, 6, 6, "'the'", "''")] if split else [(6, 8, 6, 6, "'the the'", "''")]),
+        (11, 13, 9, 11, w(10, 9), w(9, 10)),
+        (14, 17, 12, 15, w(14, 12, 13), w(12, 13, 14)),
+        (19, 20, 17, 18, "'qqq'", w(17)),
+        (20, 20, 18, 19, "''", "','"),
+    ]
+    ending = quoted("'s")
+    if split:
+        planted += [(21, 22, 20, 21, f"{w(19)} || 's'", w(19)), (22, 22, 21, 22, "''", ending)]
+    else:
+        planted.append((21, 22, 20, 22, f"{w(19)} || 's'", f"{w(19)} || ' ' || {ending}"))
+    rows = ", ".join(
+        f"{{'n': {n}, 'o0': {a}, 'o1': {b}, 'c0': {c}, 'c1': {d}, 'o': {o}, 'c': {t}}}"
+        for n, (a, b, c, d, o, t) in enumerate(planted)
+    )
+    step = BLOCK + 2
+    endings = " ".join(f"WHEN {p} THEN '{letters}'" for p, letters in UNLIKE.items())
+    placed = f"x || (i - 1) || CASE (i - 1) % {BLOCK} {endings} ELSE '' END"
+    return f"""
+  SELECT sent_id, (b * {len(planted)} + e.n)::INT AS edit_no,
+    CASE WHEN e.o = '' THEN 'M' WHEN e.c = '' THEN 'U' ELSE 'R' END AS op,
+    e.o AS o_str, (b * {step} + e.o0)::INT AS o_start, (b * {step} + e.o1)::INT AS o_end,
+    e.c AS c_str, (b * {step} + e.c0)::INT AS c_start, (b * {step} + e.c1)::INT AS c_end
+  FROM (SELECT sent_id, b, unnest([{rows}]) AS e FROM (
+    SELECT sent_id, w, unnest(range(len(w) // {BLOCK})) AS b FROM (
+      SELECT sent_id, list_transform(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> ''), lambda x, i: {placed}) AS w
+      FROM ({LINES_SQL}))))
+"""

@@ -475,6 +475,8 @@ ORACLE = {
     "extract_edits": f"SELECT {EDIT_COLUMNS} FROM ({edits(GOLD)})",
     "extract_edits_split": f"SELECT {EDIT_COLUMNS} FROM ({edits(GOLD, 'all-split')})",
     "extract_edits_equal": f"SELECT {EDIT_COLUMNS} FROM ({edits(GOLD, 'all-equal')})",
+    "extract_edits_likeness": X.phrase_edits_sql(split=True),
+    "extract_edits_rules": X.phrase_edits_sql(split=False),
     "edit_ops_count": f"SELECT op, count(*) AS n FROM ({edits(GOLD)}) GROUP BY op",
     "edits_roundtrip": f"SELECT sent_id, array_to_string({tokens(tokenize('hyp_text'))}, ' ') AS rebuilt FROM ({X.PAIRS_SQL})",
     "single_span_edit": f"""

@@ -100,11 +100,28 @@ def _align_chunk(o, c, n, m, band):
 
 def align(o_flat, o_off, c_flat, c_off):
     """Operation codes of all pairs as one flat array plus row offsets."""
+
+    def solve(chunk, n, m, k):
+        tall = int(n[0])
+        o = _padded(o_flat, o_off[:-1][chunk], n, 0, tall, -1)
+        c = _padded(c_flat, c_off[:-1][chunk], m, k, max(tall + 2 * k, int(m.max()) + k), -2)
+        return _align_chunk(o, c, n, m, k)
+
+    return aligned(o_off, c_off, solve)[:2]
+
+
+def aligned(o_off, c_off, solve, step=1):
+    """Operation codes of all pairs as one flat array, row offsets, and costs.
+
+    ``solve(chunk, n, m, band)`` aligns some pairs, longest original first, and gives no
+    operations if the band may be too narrow. A token inserted or deleted costs ``step``.
+    """
     n, m = np.diff(o_off), np.diff(c_off)
     one_sided = np.nonzero((n == 0) | (m == 0))[0]
     longest = int((n + m)[one_sided].max(initial=0))
     fill = np.where(n[one_sided] > 0, DELETE, INSERT).astype(np.uint8)
     parts = [(one_sided, np.repeat(fill[:, None], longest, 1), (n + m)[one_sided])]
+    costs = (n + m) * step
 
     def pow2(x):
         return 1 << np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64)
@@ -119,18 +136,15 @@ def align(o_flat, o_off, c_flat, c_off):
         cells = np.cumsum(n[todo[:alike]]) * (2 * k + 1)
         take = max(1, int(np.searchsorted(cells, CELL_BUDGET)))
         chunk, todo = todo[:take], todo[take:]
-        cn, cm = n[chunk], m[chunk]
-        tall = int(cn[0])
-        o = _padded(o_flat, o_off[:-1][chunk], cn, 0, tall, -1)
-        c = _padded(c_flat, c_off[:-1][chunk], cm, k, max(tall + 2 * k, int(cm.max()) + k), -2)
-        ops, lengths, distance = _align_chunk(o, c, cn, cm, k)
+        ops, lengths, distance = solve(chunk, n[chunk], m[chunk], k)
         if ops is None:
-            narrow = distance > k
+            narrow = (distance > k * step) & (size[chunk] > k)
             band[chunk[narrow]] = np.minimum(4 * k, pow2(size[chunk[narrow]]))
             todo = np.concatenate([todo, chunk])
             todo = todo[np.lexsort((-n[todo], band[todo]))]
         else:
             parts.append((chunk, ops, lengths))
+            costs[chunk] = distance
 
     lengths = np.zeros(len(n), dtype=np.int64)
     for who, _, count in parts:
@@ -141,7 +155,7 @@ def align(o_flat, o_off, c_flat, c_off):
         rows = np.repeat(np.arange(len(who)), count)
         pos = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
         flat[offsets[who][rows] + pos] = ops[rows, (ops.shape[1] - count)[rows] + pos]
-    return flat, offsets
+    return flat, offsets, costs
 
 
 def _joined(values, starts, ends):
@@ -156,7 +170,7 @@ def _joined(values, starts, ends):
 
 
 def edit_spans(originals: pa.ListArray, corrected: pa.ListArray, merge: str) -> pa.ListArray:
-    """Edits of each pair of token lists.
+    """Edits of each pair of token lists, by the fewest operations.
 
     ``merge`` joins neighbouring operations: ``all-merge`` every run without a
     match, ``all-equal`` runs of one operation, ``all-split`` none.
@@ -166,17 +180,24 @@ def edit_spans(originals: pa.ListArray, corrected: pa.ListArray, merge: str) ->
     ids = ids.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     split = len(originals.values)
     ops, rows = align(ids[:split], o_off, ids[split:], c_off)
+    if merge == "all-merge":
+        cut = np.zeros(max(len(ops) - 1, 0), bool)
+    elif merge == "all-equal":
+        cut = ops[:-1] != ops[1:]
+    elif merge == "all-split":
+        cut = np.ones(max(len(ops) - 1, 0), bool)
+    else:
+        raise ValueError(f"unknown merge: {merge}")
+    return spans(originals, corrected, ops, rows, cut)
+
 
+def spans(originals: pa.ListArray, corrected: pa.ListArray, ops, rows, cut) -> pa.ListArray:
+    """Edits of each pair; ``cut`` tells where one ends between two neighbouring operations."""
+    o_off, c_off = originals.offsets.to_numpy(), corrected.offsets.to_numpy()
     edit = ops != MATCH
     first = np.zeros(len(ops) + 1, dtype=bool)
     first[rows] = True
-    cut = first[1:-1] | ~edit[:-1] | ~edit[1:] if len(ops) else first[:0]
-    if merge == "all-equal":
-        cut |= ops[:-1] != ops[1:]
-    elif merge == "all-split":
-        cut |= True
-    elif merge != "all-merge":
-        raise ValueError(f"unknown merge: {merge}")
+    cut = first[1:-1] | ~edit[:-1] | ~edit[1:] | cut if len(ops) else first[:0]
     opens = np.nonzero(edit & np.concatenate([[True], cut])[: len(ops)])[0]
     closes = np.nonzero(edit & np.concatenate([cut, [True]])[: len(ops)])[0]
 

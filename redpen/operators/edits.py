@@ -15,25 +15,37 @@ from pyspark.sql import types as T
 
 from redpen.functions.arrays import bind
 from redpen.functions.text import M2_SEP, edit_key, tokens
-from redpen.operators import alignment
+from redpen.operators import alignment, likeness
 from redpen.schema import SPAN
 
 MERGES = ("all-merge", "all-split", "all-equal")
+#: A further way, by rules over the operations; it needs the cost by likeness.
+RULES = "rules"
+#: ``unit``: fewest operations; ``likeness``: alike words replace each other, blocks may move.
+COSTS = ("unit", "likeness")
 
 EDIT_COLUMNS = ("o_str", "o_start", "o_end", "c_str", "c_start", "c_end")
 
 
-def _span_udf(merge: str):
-    if merge not in MERGES:
-        raise ValueError(f"merge must be one of {MERGES}")
-    edit_spans = alignment.edit_spans
+def _span_udf(merge: str, cost: str, features: bool):
+    if merge not in (*MERGES, RULES):
+        raise ValueError(f"merge must be one of {(*MERGES, RULES)}")
+    if cost not in COSTS:
+        raise ValueError(f"cost must be one of {COSTS}")
+    if cost == "unit" and (merge == RULES or features):
+        raise ValueError("rules and features need cost='likeness'")
+    edit_spans = alignment.edit_spans if cost == "unit" else likeness.edit_spans
 
     @F.arrow_udf(T.ArrayType(SPAN))
     def spans(original: pa.Array, corrected: pa.Array) -> pa.Array:
         return edit_spans(original, corrected, merge)
 
+    @F.arrow_udf(T.ArrayType(SPAN))
+    def spans_by_features(original: pa.Array, corrected: pa.Array, o_feats: pa.Array, c_feats: pa.Array) -> pa.Array:
+        return edit_spans(original, corrected, merge, o_feats, c_feats)
+
     # Filters on the result must not be pushed below it: they would run it twice.
-    return spans.asNondeterministic()
+    return (spans_by_features if features else spans).asNondeterministic()
 
 
 def _common_run(left: Column, right: Column) -> Column:
@@ -47,23 +59,39 @@ def align(
     original: str = "original",
     corrected: str = "corrected",
     merge: str = "all-merge",
+    cost: str = "unit",
+    features: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Adds ``spans`` (edits of the trimmed middle) and ``lead`` (tokens before it).
 
-    Null text counts as empty text. Every intermediate column is used more than once, which keeps the optimizer
+    Null text counts as empty text. ``features`` names two arrays with a struct (lemma, pos, ...) for
+    each token of either side; a missing or shorter one counts as unknown from its end on. Every
+    intermediate column is used more than once, which keeps the optimizer
     from inlining it into the expressions above.
     """
     filled = lambda name: F.coalesce(F.col(name), F.lit(""))
     rest = lambda side: F.slice(F.col(side), F.col("lead") + 1, F.size(side) - F.col("lead"))
     middle = lambda side: F.slice(F.col(side), F.lit(1), F.size(side) - F.col("_tail"))
-    return (
+    rows = (
         pairs.withColumns({"_o": tokens(filled(original)), "_c": tokens(filled(corrected))})
         .withColumn("lead", _common_run(F.col("_o"), F.col("_c")))
         .withColumns({"_o_rest": rest("_o"), "_c_rest": rest("_c")})
         .withColumn("_tail", _common_run(F.reverse("_o_rest"), F.reverse("_c_rest")))
         .withColumns({"_o_mid": middle("_o_rest"), "_c_mid": middle("_c_rest")})
-        .withColumn("spans", _span_udf(merge)(F.col("_o_mid"), F.col("_c_mid")))
-        .drop("_o", "_c", "_tail", "_o_rest", "_c_rest", "_o_mid", "_c_mid")
+    )
+    sides = ["_o_mid", "_c_mid"]
+    if features:
+        of_middle = lambda f, side: F.transform(
+            F.col(side),
+            lambda t, k: bind(
+                {"f": F.get(F.col(f), F.col("lead") + k)},
+                lambda row: F.struct(row["f"]["lemma"].alias("lemma"), row["f"]["pos"].alias("pos")),
+            ),
+        )
+        rows = rows.withColumns({"_o_f": of_middle(features[0], "_o_mid"), "_c_f": of_middle(features[1], "_c_mid")})
+        sides += ["_o_f", "_c_f"]
+    return rows.withColumn("spans", _span_udf(merge, cost, bool(features))(*sides)).drop(
+        "_o", "_c", "_tail", "_o_rest", "_c_rest", *sides
     )
 
 
@@ -79,6 +107,8 @@ def extract_edits(
     corrected: str = "corrected",
     merge: str = "all-merge",
     compare_first: bool = True,
+    cost: str = "unit",
+    features: tuple[str, str] | None = None,
 ) -> DataFrame:
     """One row per edit: keys, edit_no, op, o_str, o_start, o_end, c_str, c_start, c_end.
 
@@ -91,7 +121,8 @@ def extract_edits(
     """
     if compare_first:
         pairs = pairs.where(F.col(original) != F.col(corrected))
-    spans = align(pairs.select(*keys, original, corrected), original, corrected, merge)
+    own = pairs.select(*keys, original, corrected, *(features or ()))
+    spans = align(own, original, corrected, merge, cost, features)
     rows = spans.select(*keys, "lead", F.posexplode("spans").alias("edit_no", "e"))
     shifted = [
         (F.col(f"e.{c}") + F.col("lead")).alias(c)
@@ -126,9 +157,11 @@ def with_edits(
     original: str = "original",
     corrected: str = "corrected",
     merge: str = "all-merge",
+    cost: str = "unit",
+    features: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Every pair with its edits as an array, without a shuffle."""
-    aligned = align(pairs, original, corrected, merge)
+    aligned = align(pairs, original, corrected, merge, cost, features)
     lead = F.col("lead")
     shifted = F.transform(
         "spans",

@@ -23,26 +23,27 @@ from redpen.sources.m2 import m2_edits, read_m2
 from redpen.sources.sinks import write_m2, write_results
 
 
-def both_sides(triples: DataFrame, original: str, gold: str, hyp: str, merge: str = "all-merge") -> DataFrame:
+def both_sides(triples: DataFrame, original: str, gold: str, hyp: str, **extraction: str) -> DataFrame:
     """Gold and hypothesis edits of the same sentences in one pass.
 
     Narrow: the texts stay where they were read, only edits are shuffled later.
+    ``extraction``: ``merge`` and ``cost`` of ``extract_edits``.
     """
     sides = F.array(
         F.struct(F.lit(True).alias("_gold"), F.col(gold).alias("corrected")),
         F.struct(F.lit(False).alias("_gold"), F.col(hyp).alias("corrected")),
     )
     stacked = triples.select("sent_id", F.col(original).alias("original"), F.inline(sides))
-    return extract_edits(stacked, ("sent_id", "_gold"), merge=merge)
+    return extract_edits(stacked, ("sent_id", "_gold"), **extraction)
 
 
-def flags_of_triples(triples: DataFrame, original: str, gold: str, hyp: str, merge: str = "all-merge") -> DataFrame:
+def flags_of_triples(triples: DataFrame, original: str, gold: str, hyp: str, **extraction: str) -> DataFrame:
     """tp, fp and fn flags of every distinct edit, with op and o_str.
 
     The span decides op and o_str, so they join the key: a hash aggregation over
     fixed-width flags, where carrying strings along would force a sort.
     """
-    edits = both_sides(triples, original, gold, hyp, merge)
+    edits = both_sides(triples, original, gold, hyp, **extraction)
     return flag_edits(edits, (*SPAN_KEY, "op", "o_str"))
 
 
@@ -53,9 +54,10 @@ def score_triples(
     gold: str = "corrected",
     hyp: str = "prediction",
     digits: int | None = 4,
+    **extraction: str,
 ) -> DataFrame:
     """Category report of predictions against corrections of the same originals."""
-    flags = flags_of_triples(triples, original, gold, hyp)
+    flags = flags_of_triples(triples, original, gold, hyp, **extraction)
     return by_category(classify_counts(flags, vocabulary), digits=digits)
 
 
@@ -66,6 +68,7 @@ def parallel_to_m2(
     out_path: str,
     min_count: int = 1,
     vocabulary: DataFrame | None = None,
+    **extraction: str,
 ) -> None:
     """Two line-aligned files to an M2 file.
 
@@ -77,7 +80,7 @@ def parallel_to_m2(
     pairs = zip_on_id(originals, read_lines(spark, corrected_path, "corrected"))
     if vocabulary is None:
         vocabulary = build_vocabulary(pairs, "corrected", min_count)
-    write_m2(originals, classify(extract_edits(pairs), vocabulary), out_path)
+    write_m2(originals, classify(extract_edits(pairs, **extraction), vocabulary), out_path)
 
 
 def compare_m2(
@@ -99,6 +102,7 @@ def evaluate_files(
     vocabulary: DataFrame | None = None,
     min_count: int = 1,
     ignore_noop: bool = False,
+    **extraction: str,
 ) -> DataFrame:
     """Strict record (tp, fp, fn, p, r, f05) of a predictions file against M2 gold.
 
@@ -118,5 +122,5 @@ def evaluate_files(
         tokenize(F.col("input_text")).alias("original"),
         tokenize(F.col("prediction")).alias("corrected"),
     )
-    hyp = with_edit_key(classify(extract_edits(sides), vocabulary))
+    hyp = with_edit_key(classify(extract_edits(sides, **extraction), vocabulary))
     return score_strict(with_edit_key(m2_edits(gold, ignore_noop)), hyp, ignore_noop)

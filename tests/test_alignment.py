@@ -68,4 +68,4 @@ def test_empty_batch_and_unknown_merge():
     assert spans([], "all-merge") == []
     assert spans([([], [])], "all-merge") == [[]]
     with pytest.raises(ValueError):
-        spans([(["a"], ["b"])], "rules")
+        spans([(["a"], ["b"])], "other")
