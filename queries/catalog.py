@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {}
 SEED = 42
 N_EVAL = 200
 VOCABULARY_MIN = 2
+FAMILY_STEMS = 2
 PREFIX = "Grammar:"
 
 
@@ -345,18 +346,37 @@ def classify_edits(spark, sf):
 
 @query
 def classify_edits_features(spark, sf):
+    """Features lie beside the texts as one array for each side."""
     rows = X.inflected(spark, sf).select(
         "sent_id",
         T.tokenize(F.col("input_text")).alias("original"),
         T.tokenize(F.col("target_text")).alias("corrected"),
     )
-    side = lambda s, c: rows.select("sent_id", F.lit(s).alias("side"), F.posexplode(T.tokens(F.col(c))).alias("tok_no", "token"))
-    features = X.token_features(side("o", "original").unionByName(side("c", "corrected")))
     words = C.build_vocabulary(rows, "corrected", VOCABULARY_MIN)
-    edits = E.extract_edits(rows, compare_first=False)
-    return C.classify_with_features(edits, words, features).select(
-        "sent_id", "o_start", "type", "o_str", "c_str"
-    )
+    sides = {"o_feats": "original", "c_feats": "corrected"}
+    featured = rows.withColumns({f: X.feature_array(T.tokens(F.col(c))) for f, c in sides.items()})
+    return C.classify_pairs(featured, words, ("o_feats", "c_feats")).select("sent_id", "o_start", "type", "o_str", "c_str")
+
+
+def _planted(spark, sf):
+    rows = X.planted(spark, sf)
+    return rows, C.build_vocabulary(rows, "corrected", VOCABULARY_MIN)
+
+
+@query
+def classify_edits_families(spark, sf):
+    """All categories, by word families mined from the corrected texts."""
+    rows, words = _planted(spark, sf)
+    edits = E.extract_edits(rows, merge="rules", cost="likeness")
+    typed = C.classify_by_families(edits, words, min_stems=FAMILY_STEMS)
+    return typed.select("sent_id", "category", "op", "o_str", "c_str")
+
+
+@query
+def score_by_families(spark, sf):
+    """The category report of predictions, with a row for every category."""
+    rows, words = _planted(spark, sf)
+    return V.score_triples(rows, words, families=FAMILY_STEMS, merge="rules", cost="likeness")
 
 
 @query

@@ -281,3 +281,57 @@ def phrase_edits_sql(split: bool) -> str:
       SELECT sent_id, list_transform(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> ''), lambda x, i: {placed}) AS w
       FROM ({LINES_SQL}))))
 """
+
+
+def feature_array(words: Column) -> Column:
+    """Part of speech and lemma of each token guessed from its ending, as one array."""
+
+    def guessed(token: Column) -> Column:
+        word = F.lower(token)
+        ends = lambda *suffixes: word.rlike("(" + "|".join(suffixes) + ")$")
+        pos = (
+            F.when(ends("ing", "ed"), "VERB").when(ends("ly"), "ADV").when(ends("es", "e", "tion"), "NOUN")
+            .when(ends("n", "t"), "ADJ").otherwise("X")
+        )
+        tag = F.when(ends("ing"), "VBG").when(ends("ed"), "VBD").otherwise("-")
+        lemma = F.regexp_replace(word, "(ing|ed|es|e)$", "")
+        return F.struct(lemma.alias("lemma"), pos.alias("pos"), tag.alias("tag"))
+
+    return F.transform(words, guessed)
+
+
+# One edit of each category, as (original, corrected, category).
+PLANTED = (
+    ("dog", "dogs", "NOUN:NUM"), ("doges", "dogs", "NOUN:INFL"), ("dogs", "cats", "NOUN"), ("dog", "dog 's", "NOUN:POSS"),
+    ("walk", "walks", "VERB:SVA"), ("walk", "walking", "VERB:FORM"), ("walk", "walked", "VERB:TENSE"),
+    ("walkes", "walks", "VERB:INFL"), ("walked", "jumped", "VERB"), ("tall", "taller", "ADJ:FORM"), ("taller", "smaller", "ADJ"),
+    ("quick", "quickly", "MORPH"), ("quickly", "slowly", "ADV"), ("the", "a", "DET"), ("in", "on", "PREP"), ("he", "she", "PRON"),
+    ("and", "but", "CONJ"), ("to", "not", "PART"), ("'ll", "'ve", "CONTR"), (",", ";", "PUNCT"), ("Dog", "dog", "ORTH"),
+    ("cat dog", "dog cat", "WO"), ("teh", "the", "SPELL"), ("hello", "goodbye", "OTHER"), ("dogs", "dogs '", "NOUN:POSS"),
+)
+# The words of those corrections, so that the vocabulary has them and their families.
+FAMILIES = (
+    "dog dogs cat cats walk walks walked walking jump jumps jumped jumping tall taller tallest small smaller smallest "
+    "quick quickly slow slowly the a in on he she and but to not hello goodbye"
+)
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with one edit each, of all categories in turn; predictions find every third and invent every fourth."""
+    which = (F.col("doc_id") * 7 + F.col("sent_id") % 1000) % len(PLANTED)
+    pick = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in PLANTED]), (which + 1).cast("int"))
+    text = lambda words: F.concat_ws(" ", "line", F.lit(":"), words, F.lit(":"), F.lit(FAMILIES))
+    kind = F.col("sent_id") % 1000 % 12
+    hyp = F.when(kind % 3 == 0, pick(1)).when(kind % 4 == 1, F.lit("tallest")).otherwise(pick(0))
+    return lines(spark, sf_dir).select(
+        "sent_id", text(pick(0)).alias("original"), text(pick(1)).alias("corrected"), text(hyp).alias("prediction")
+    )
+
+
+PLANTED_SQL = f"""
+  SELECT sent_id, kind, p.o AS o_str, p.c AS c_str, p.t AS category FROM (
+    SELECT sent_id, sent_id % 1000 % 12 AS kind,
+      [{', '.join(f"{{'o': {quoted(o)}, 'c': {quoted(c)}, 't': {quoted(t)}}}" for o, c, t in PLANTED)}]
+        [(doc_id * 7 + sent_id % 1000) % {len(PLANTED)} + 1] AS p
+    FROM ({LINES_SQL}))
+"""

@@ -1,9 +1,10 @@
 """Error categories of edits.
 
 Three tiers, each optional beyond the first: string rules; word classes from
-closed lists and the corpus vocabulary; part of speech and lemma from a token
-table the user supplies. Without that table the third tier's categories come
-out as OTHER, so their counts do not compare with those of a tagger.
+closed lists and the corpus vocabulary; part of speech and lemma, from arrays or a
+token table the user supplies, or from word families mined from the vocabulary.
+Without any of them the third tier's categories come out as OTHER; mined ones
+do not compare with those of a tagger.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.functions.text import tokens
+from redpen.operators.edits import with_edits
+from redpen.operators.families import known_words, proposals, word_families
 from redpen.operators.skew import lookup
 from redpen.session import materialize
 
@@ -97,7 +100,7 @@ def category_rules(
 
     rules = [
         (both & (squash(o) == squash(c)), "ORTH"),
-        (_all_in(words, POSSESSIVES[:1]), "NOUN:POSS"),
+        (_all_in(words, POSSESSIVES), "NOUN:POSS"),
         (F.concat_ws(" ", o_str, c_str).rlike(PUNCTUATION), "PUNCT"),
         (both & ~one_word & (F.array_sort(o_words) == F.array_sort(c_words)), "WO"),
         (_all_in(words, CONTRACTIONS), "CONTR"),
@@ -155,14 +158,17 @@ def mark_known(
     return joined.withColumn("_known", _is_known()).drop("word")
 
 
-def classify_counts(flags: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def classify_counts(flags: DataFrame, vocabulary: DataFrame, families: int | None = None) -> DataFrame:
     """Categories of matched edits, summed per distinct (op, o_str, c_str) first.
 
     The flags of equal edits are added up before any join, so a frequent edit is
-    one row when it meets the vocabulary.
+    one row when it meets the vocabulary. With ``families``, the least number of base
+    words an ending must show on, word families of the vocabulary decide too.
     """
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     counted = flags.groupBy("op", "o_str", "c_str").agg(*sums)
+    if families is not None:
+        return typed_by_families(counted, vocabulary, families)
     counted = counted.withColumn("word", _lookup_word())
     entries = vocabulary.select("word", F.lit(True).alias("_known"))
     category = category_rules(F.col("o_str"), F.col("c_str"), _is_known())
@@ -171,6 +177,89 @@ def classify_counts(flags: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def _other_word() -> Column:
+    """What an edit looks up for its correction; deletions and several words find nothing."""
+    return F.when(F.col("c_str") == "", F.concat(F.lit(" "), "o_str")).otherwise(F.lower("c_str"))
+
+
+def typed_by_families(counted: DataFrame, vocabulary: DataFrame, min_stems: int = 3) -> DataFrame:
+    """Adds ``category`` to distinct (op, o_str, c_str) by the word families of the vocabulary.
+
+    An unknown original that would be a form of the correction's base word is an
+    inflection of the wrong kind.
+    """
+    vocabulary = materialize(vocabulary.select("word").distinct(), "vocabulary")
+    closed = tuple(word for listed in CLOSED_CLASSES.values() for word in listed)
+    words = materialize(known_words(vocabulary, word_families(vocabulary, min_stems, closed)), "words")
+    rows = counted.withColumns({"word": _lookup_word(), "_other": _other_word()})
+    rows = rows.join(words.select("word", F.col("feature").alias("_of"), F.lit(True).alias("_known")), "word", "left")
+    others = words.select(F.col("word").alias("_other"), F.col("feature").alias("_cf"))
+    rows = rows.join(others, "_other", "left").withColumn("_known", _is_known())
+    bases = F.transform(proposals(F.col("word")), lambda p: p["lemma"])
+    would_be = ~F.col("_known") & (F.array_contains(bases, F.col("_cf.lemma")) | (F.col("_cf.lemma") == F.col("word")))
+    as_other = F.struct(F.col("_cf.lemma").alias("lemma"), F.col("_cf.pos").alias("pos"), F.lit(None).cast("string").alias("tag"))
+    o_feature = F.when(F.col("_of").isNotNull(), F.col("_of")).when(would_be, as_other)
+    listed = lambda f: F.filter(F.array(f), lambda x: x.isNotNull())
+    by_pos = pos_category(listed(o_feature), listed(F.col("_cf")), F.col("_known"))
+    # A replacement is typed by both its words or not at all.
+    told = ((F.col("o_str") == "") | o_feature.isNotNull()) & ((F.col("c_str") == "") | F.col("_cf").isNotNull())
+    category = category_rules(F.col("o_str"), F.col("c_str"), F.col("_known"), F.when(told, by_pos))
+    return rows.withColumn("category", category).drop("word", "_other", "_of", "_cf", "_known")
+
+
+def classify_by_families(
+    edits: DataFrame, vocabulary: DataFrame, keys: tuple[str, ...] = ("sent_id",), min_stems: int = 3
+) -> DataFrame:
+    """Adds ``category`` and ``type`` to edits: each distinct edit is typed once and looked up.
+
+    Edits are written once because they are both counted and joined.
+    """
+    rows = edits.withColumn("_edit", F.concat_ws("\u0000", "op", "o_str", "c_str"))
+    rows = materialize(rows, "edits")
+    counted = rows.groupBy("op", "o_str", "c_str", "_edit").agg(F.count("*").alias("n"))
+    typed = materialize(typed_by_families(counted, vocabulary, min_stems), "typed")
+    found = lookup(rows, typed.select("_edit", "category"), "_edit", F.struct(*keys, "o_start", "o_end"), typed.select("_edit", "n"))
+    return found.withColumn("type", F.concat_ws(":", "op", "category")).drop("_edit")
+
+
+def classify_pairs(
+    pairs: DataFrame,
+    vocabulary: DataFrame,
+    features: tuple[str, str],
+    keys: tuple[str, ...] = ("sent_id",),
+    original: str = "original",
+    corrected: str = "corrected",
+    **extraction: str,
+) -> DataFrame:
+    """Edits of pairs with ``category`` and ``type`` by features that lie beside the texts.
+
+    ``features`` names two arrays of structs (lemma, pos, tag), one for each token of
+    either side; an edit's are cut out by position. No token is exploded or joined:
+    both possible categories, of a known and an unknown original, are settled where the pair is
+    read, and only those travel to the vocabulary.
+    """
+    given = {"features": features} if extraction.get("cost", "unit") != "unit" else {}
+    rows = with_edits(pairs.select(*keys, original, corrected, *features), original, corrected, **extraction, **given)
+    rows = rows.select(*keys, *features, F.inline("edits"))
+    empty = F.array().cast("array<struct<lemma:string,pos:string,tag:string>>")
+
+    def covered(name: str, side: str) -> Column:
+        all_ = F.transform(name, lambda f: F.struct(f["lemma"].alias("lemma"), f["pos"].alias("pos"), f["tag"].alias("tag")))
+        length = F.col(f"{side}_end") - F.col(f"{side}_start")
+        return F.coalesce(F.slice(all_, F.col(f"{side}_start") + 1, length), empty)
+
+    rows = rows.withColumns({"_of": covered(features[0], "o"), "_cf": covered(features[1], "c")})
+    settled = {}
+    for name, known in (("_if_known", True), ("_if_not", False)):
+        by_pos = pos_category(F.col("_of"), F.col("_cf"), F.lit(known))
+        settled[name] = category_rules(F.col("o_str"), F.col("c_str"), F.lit(known), by_pos)
+    rows = rows.withColumns(settled).drop("_of", "_cf", *features)
+    rows = mark_known(rows, vocabulary, keys)
+    category = F.when(F.col("_known"), F.col("_if_known")).otherwise(F.col("_if_not"))
+    named = rows.withColumn("category", category).withColumn("type", F.concat_ws(":", "op", "category"))
+    return named.drop("_known", "_if_known", "_if_not")
+
+
 def span_features(
     edits: DataFrame, token_features: DataFrame, keys: tuple[str, ...] = ("sent_id",)
 ) -> DataFrame:

@@ -54,11 +54,12 @@ def score_triples(
     gold: str = "corrected",
     hyp: str = "prediction",
     digits: int | None = 4,
+    families: int | None = None,
     **extraction: str,
 ) -> DataFrame:
     """Category report of predictions against corrections of the same originals."""
     flags = flags_of_triples(triples, original, gold, hyp, **extraction)
-    return by_category(classify_counts(flags, vocabulary), digits=digits)
+    return by_category(classify_counts(flags, vocabulary, families), digits=digits)
 
 
 def parallel_to_m2(
