@@ -483,6 +483,15 @@ def predict_lexicon(spark, sf):
     return P.predict_lexicon(rows, fit_lexicon(spark, sf)).select("sent_id", "prediction")
 
 
+@query
+def predict_phrases(spark, sf):
+    """Corrections of several words, learnt from edits joined by rules."""
+    rows = X.planted(spark, sf)
+    edits = E.extract_edits(rows, merge="rules", cost="likeness")
+    lexicon = P.fit_lexicon(edits, 2).where(F.col("o_str").isin("cat dog", "teh", "doges"))
+    return P.predict_lexicon(rows.select("sent_id", "original"), lexicon).select("sent_id", "prediction")
+
+
 @query
 def highlight(spark, sf):
     return D.highlight(token_pairs(spark, sf))
@@ -528,8 +537,8 @@ def tag_stream(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"),
         X.replace_all(F.col("text"), X.MISSPELLED).alias("input_text"),
     )
-    out = scratch_path(spark, "tagged")
-    stream_tag(texts, repair_model, PREFIX, out, scratch_path(spark, "progress")).awaitTermination()
+    out, once = scratch_path(spark, "tagged"), scratch_path(spark, "predicted")
+    stream_tag(texts, repair_model, PREFIX, out, scratch_path(spark, "progress"), predictions=once).awaitTermination()
     return spark.read.parquet(out).select("sent_id", "prediction")
 
 

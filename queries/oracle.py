@@ -527,6 +527,12 @@ ORACLE = {
     "unique_inputs": f"SELECT DISTINCT input_text FROM ({X.PAIRS_SQL})",
     "fit_lexicon": LEXICON,
     "predict_lexicon": lexicon_applied(f"SELECT sent_id, {tokenize('hyp_text')} AS original FROM ({X.PAIRS_SQL})", LEXICON),
+    "predict_phrases": f"""
+      SELECT sent_id, replace(replace(replace(array_to_string({tokens('t')}, ' '),
+        ' : cat dog : ', ' : dog cat : '), ' : teh : ', ' : the : '), ' : doges : ', ' : dogs : ') AS prediction
+      FROM (SELECT sent_id, line || ' : ' || p.o || ' : ' || {q(X.FAMILIES)} AS t FROM (
+        SELECT sent_id, line, [{', '.join(f"{{'o': {q(o)}}}" for o, _, _ in X.PLANTED)}][(doc_id * 7 + sent_id % 1000) % {len(X.PLANTED)} + 1] AS p
+        FROM ({X.LINES_SQL})))""",
     "highlight": markup(GOLD),
     "highlight_compat": markup(GOLD),
     "highlight_segments": SEGMENTS,

@@ -108,14 +108,14 @@ def evaluate_files(
     """Strict record (tp, fp, fn, p, r, f05) of a predictions file against M2 gold.
 
     ``pairs_path`` is the pair CSV that holds the originals; row, line and
-    sentence numbers must line up, otherwise the call fails. A gold ``noop``
+    sentence numbers must line up, otherwise the job fails. A gold ``noop``
     counts as a missed edit unless ``ignore_noop``. Without a ``vocabulary`` the
     words of the CSV's targets are counted.
     """
     pairs = with_row_ids(read_pair_csv(spark, pairs_path))
     gold = read_m2(spark, gold_path)
     predicted = zip_on_id(pairs, read_lines(spark, predictions_path, "prediction"))
-    zip_on_id(pairs.select("sent_id"), gold.select("sent_id"))
+    predicted = zip_on_id(predicted, gold.select("sent_id"))
     if vocabulary is None:
         vocabulary = build_vocabulary(pairs.select(tokenize(F.col("target_text")).alias("t")), "t", min_count)
     sides = predicted.select(

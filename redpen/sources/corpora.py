@@ -13,7 +13,7 @@ from redpen.functions.text import detokenize, normalize_ws, strip, tokenize
 from redpen.operators.order import prefix_take
 from redpen.operators.rows import canonical, drop_empty, drop_identical, explode_references
 from redpen.sources.files import read_json_lines, read_table
-from redpen.sources.lines import with_row_ids
+from redpen.sources.lines import first_rows, with_row_ids
 
 
 @dataclass(frozen=True)
@@ -34,10 +34,17 @@ class Corpus:
     def load(
         self, spark: SparkSession, path: str, fmt: str = "parquet", take_n: int | None = None
     ) -> DataFrame:
-        """Canonical pairs from files; rows without ``sent_id`` are numbered in file order."""
+        """Canonical pairs from files; rows without ``sent_id`` are numbered in file order.
+
+        The first ``take_n`` of these are taken from the first files alone.
+        """
         raw = read_json_lines(spark, path, self.schema) if fmt == "json" else read_table(spark, path, fmt)
-        numbered = raw if "sent_id" in raw.columns else with_row_ids(raw)
-        return self.pairs(prefix_take(numbered, take_n))
+        if "sent_id" in raw.columns:
+            return self.pairs(prefix_take(raw, take_n))
+        if take_n is None:
+            return self.pairs(with_row_ids(raw))
+        few = lambda files: read_table(spark, files, fmt, raw.schema)
+        return self.pairs(first_rows(raw, take_n, few))
 
 
 def _derive(df: DataFrame, function: Callable[[Column], Column], **columns: str) -> DataFrame:

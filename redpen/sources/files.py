@@ -16,7 +16,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType)
     return spark.read.schema(schema).json(path)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], fmt: str, schema: str | T.StructType | None = None) -> DataFrame:
     """A corpus stored as parquet, json, orc or csv."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,6 +53,40 @@ def block_starts(placed: DataFrame, counted: Column) -> DataFrame:
     return materialize(starts, "blocks")
 
 
+def _one_name(path: str) -> str:
+    """A file's path, however many slashes follow its scheme and whether or not it is quoted."""
+    return unquote(re.sub(r"^(\w+):/+", r"\1:/", path))
+
+
+def first_files(scan: DataFrame, n: int, read: Callable[[list[str]], DataFrame]) -> list[str] | None:
+    """The files that hold the first ``n`` rows in file order; None if all are needed.
+
+    ``read`` gives the rows of some files. Rows are counted file by file in that order, in steps of ever more files, until
+    there are enough: no more is read than that and the rest of the last step.
+    """
+    part = re.compile(r"part-(\d+)")
+    number = lambda f: (lambda m: (m is None, int(m.group(1)) if m else 0, f))(part.search(f))
+    # As rows are numbered: files without a part number first.
+    files = sorted(scan.inputFiles(), key=lambda f: (not number(f)[0], *number(f)[1:]))
+    taken, rows, step = 0, 0, 1
+    while rows < n and taken < len(files):
+        batch = files[taken : taken + step]
+        counted = read(batch).groupBy(F.col("_metadata.file_path").alias("f"))
+        counts = {_one_name(r.f): r.n for r in counted.agg(F.count("*").alias("n")).collect()}  # one row for each file
+        for file in batch:
+            taken, rows = taken + 1, rows + counts.get(_one_name(file), 0)
+            if rows >= n:
+                break
+        step *= 2
+    return files[:taken] if rows >= n and taken < len(files) else None
+
+
+def first_rows(scan: DataFrame, n: int, read: Callable[[list[str]], DataFrame], row_id: str = "sent_id") -> DataFrame:
+    """The first ``n`` rows of a direct file scan in file order, numbered; other files are not opened."""
+    files = first_files(scan, n, read)
+    return with_row_ids(scan if files is None else read(files), row_id).where(F.col(row_id) < n)
+
+
 def with_row_ids(scan: DataFrame, row_id: str = "sent_id") -> DataFrame:
     """Dense row numbers in file order for a direct file scan."""
     placed = placed_rows(scan)

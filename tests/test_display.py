@@ -87,3 +87,32 @@ def test_tag_stream_predicts_per_batch(spark, texts, tmp_path):
     tag_stream(stream, fix, "G", out, progress).awaitTermination()
     got = {r.sent_id: r.prediction for r in spark.read.parquet(out).collect()}
     assert got == {0: "G : see the dog .", 10: "G : see the dog .", 1: "G : fine .", 11: "G : fine .", 2: "G : the end", 12: "G : the end"}
+
+
+def test_tag_stream_predicts_a_text_once_per_stream(spark, texts, tmp_path):
+    source, out, progress, once = (str(tmp_path / n) for n in ("in", "out", "progress", "once"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting():
+        model = fix()
+
+        def predict(batch):
+            asked.add(len(batch))
+            return model(batch)
+
+        return predict
+
+    def run():
+        stream = spark.readStream.schema(texts.schema).parquet(source)
+        tag_stream(stream, counting, "G", out, progress, predictions=once).awaitTermination()
+        return {r.sent_id: r.prediction for r in spark.read.parquet(out).collect()}
+
+    texts.unionByName(texts.selectExpr("sent_id + 10 AS sent_id", "input_text")).write.parquet(source)
+    first = run()
+    assert asked.value == 3 and len(first) == 6
+    again = texts.selectExpr("sent_id + 20 AS sent_id", "input_text")
+    again.unionByName(texts.limit(1).selectExpr("99L AS sent_id", "'teh new' AS input_text")).write.mode("append").parquet(source)
+    second = run()
+    assert asked.value == 4
+    assert {k - 20: v for k, v in second.items() if 20 <= k < 30} == {k: v for k, v in first.items() if k < 10}
+    assert second[99] == "G : the new" and len(second) == 10

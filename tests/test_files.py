@@ -61,7 +61,7 @@ def test_files_that_do_not_line_up_are_refused(spark, tmp_path):
     score = lambda name, **kw: V.evaluate_files(spark, path("pairs.csv"), path(name), path("gold"), **kw).first()
     assert (score("good").tp, score("good").fp, score("good").fn) == (1, 0, 1)
     assert (score("good", ignore_noop=True).tp, score("good", ignore_noop=True).fn) == (1, 0)
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="line up"):
         score("short")
 
 
@@ -100,6 +100,32 @@ def test_csv_keeps_awkward_text(spark, tmp_path):
     assert {tuple(r) for r in files.read_pair_csv(spark, str(tmp_path / "pairs")).collect()} == set(rows)
 
 
+def test_first_rows_read_the_first_files_only(spark, tmp_path):
+    path = tmp_path / "c4"
+    rows = spark.range(10_000).selectExpr("concat('in ', id) AS input", "concat('out ', id) AS output")
+    rows.repartitionByRange(10, F.length("input"), "input").write.parquet(str(path))
+    parts = sorted(path.glob("part-*.parquet"))
+    sizes = [spark.read.parquet(str(f)).count() for f in parts]
+    whole = {r.sent_id: r.input_text for r in corpora.C4_200M.load(spark, str(path)).collect()}
+    for part in parts[3:]:  # nobody may open these
+        part.write_bytes(b"broken")
+        (path / f".{part.name}.crc").unlink(missing_ok=True)
+    for n in (1, sizes[0], sizes[0] + 5, sizes[0] + sizes[1] + 1):
+        got = {r.sent_id: r.input_text for r in corpora.C4_200M.load(spark, str(path), take_n=n).collect()}
+        assert got == {k: v for k, v in whole.items() if k < n} and len(got) == n
+    scan, read = spark.read.schema("input string, output string").parquet(str(path)), lambda f: spark.read.parquet(*f)
+    assert len(lines.first_files(scan, sizes[0], read)) == 1 and len(lines.first_files(scan, sizes[0] + 1, read)) == 2
+
+
+def test_first_rows_of_few_files(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([(f"l{i}",) for i in range(7)], "value string").coalesce(1).write.text(path)
+    scan, read = spark.read.text(path), spark.read.text
+    assert lines.first_files(scan, 3, read) is None and lines.first_files(scan, 100, read) is None
+    for n in (0, 3, 100):
+        assert {r.value for r in lines.first_rows(scan, n, read).collect()} == {f"l{i}" for i in range(min(n, 7))}
+
+
 def test_sources_without_a_key_are_numbered(spark, tmp_path):
     path = corpora.merlin_path(str(tmp_path), "german")
     df = spark.createDataFrame([("a", "b"), ("same", "same"), ("c", "d")], "original STRING, corrected STRING")

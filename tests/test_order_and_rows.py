@@ -38,6 +38,20 @@ def test_no_boundary_is_found_by_top_k(spark):
         assert "TakeOrdered" not in part._jdf.queryExecution().executedPlan().toString()
 
 
+def test_both_boundaries_take_two_passes(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pool = spark.range(1000).withColumnRenamed("id", "sent_id").mapInArrow(count, "sent_id long")
+    head, tail = O.head_tail_split(pool, 200, 42, 1)
+    assert read.value == 2000
+    assert head.count() == 200 and tail.count() == 799 and read.value == 4000
+
+
 def test_seeds_give_other_but_repeatable_orders(spark):
     df = spark.range(200).withColumnRenamed("id", "sent_id")
     order = lambda seed: [r.sent_id for r in O.seeded_shuffle(df.repartition(3), seed).collect()]

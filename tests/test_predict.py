@@ -113,3 +113,23 @@ def test_lexicon_prediction_is_the_same_by_broadcast_and_by_shuffle(spark, monke
     )
     got = {r.sent_id: r.prediction for r in P.predict_lexicon(df, lexicon).collect()}
     assert got == {0: "the the dog", 1: "nothing here", 2: "", 3: ""}
+
+
+@pytest.mark.parametrize("limit", [P.BROADCAST_ROWS, 0])
+def test_longest_phrase_wins_from_left_to_right(spark, monkeypatch, limit):
+    monkeypatch.setattr(P, "BROADCAST_ROWS", limit)
+    entries = [("a", "A"), ("a b", "AB"), ("a b c d", "ABCD"), ("b c", "BC"), ("very very", ""), ("x", "y z"), ("", "never")]
+    lexicon = spark.createDataFrame(entries, "o_str STRING, c_str STRING")
+    texts = ["a b c", "a b c d", "b c a", "a a b", "very very very", "x x", "q", "", None, "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "sent_id LONG, original STRING")
+    got = {r.sent_id: r.prediction for r in P.predict_lexicon(df, lexicon).collect()}
+    want = ["AB c", "ABCD", "BC A", "A AB", "very", "y z y z", "q", "", None, "A"]
+    assert got == dict(enumerate(want))
+    assert P.predict_lexicon(df, lexicon.limit(0)).where("sent_id = 1").first().prediction == "a b c d"
+
+
+def test_small_lexicon_moves_no_text(spark):
+    lexicon = spark.createDataFrame([("a b", "c")], "o_str STRING, c_str STRING")
+    df = spark.range(9).selectExpr("id AS sent_id", "'a b' AS original")
+    plan = P.predict_lexicon(df, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

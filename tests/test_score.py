@@ -97,5 +97,21 @@ def test_per_sentence_counts_agree(spark, sides):
 def test_zip_needs_matching_ids(spark):
     left = spark.range(5).withColumnRenamed("id", "sent_id")
     assert S.zip_on_id(left, left.withColumn("x", F.lit(1))).count() == 5
-    with pytest.raises(ValueError):
-        S.zip_on_id(left, left.where("sent_id <> 3"))
+    for right in (left.where("sent_id <> 3"), left.unionByName(left.where("sent_id = 2")), left.selectExpr("nullif(sent_id, 1) AS sent_id")):
+        for pair in ((left, right), (right, left)):
+            zipped = S.zip_on_id(*pair)  # nothing runs yet
+            with pytest.raises(Exception, match="do not line up"):
+                zipped.count()
+
+
+def test_zip_reads_each_side_once(spark, tmp_path):
+    path = str(tmp_path / "side")
+    spark.range(5).withColumnRenamed("id", "sent_id").write.parquet(path)
+    left, right = spark.read.parquet(path), spark.read.parquet(path).withColumn("x", F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.zip_on_id(left, right)._jdf.queryExecution().sparkPlan().toString()
+        executed = S.zip_on_id(left, right)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan") == 2 and executed.count("Exchange hashpartitioning") == 2
