@@ -215,6 +215,29 @@ def wi_like(spark, sf):
     return corpora.WI.pairs(X.char_edits(spark, sf))
 
 
+@query
+def locness_like(spark, sf):
+    return corpora.LOCNESS.pairs(X.char_edits(spark, sf))
+
+
+@query
+def batch_columns(spark, sf):
+    """Two columns in, two out, by a function over whole Arrow batches."""
+
+    def make():
+        import pyarrow.compute as pc
+
+        def compare(columns):
+            left, right = columns["input_text"], columns["target_text"]
+            gap = pc.subtract(pc.utf8_length(right), pc.utf8_length(left))
+            return {"gap": gap, "longer": pc.if_else(pc.greater(gap, 0), right, left)}
+
+        return compare
+
+    rows = X.pairs(spark, sf).select("sent_id", "input_text", "target_text")
+    return R.map_batches(rows, make, ["input_text", "target_text"], "gap INT, longer STRING").select("sent_id", "gap", "longer")
+
+
 @query
 def apply_char_edits(spark, sf):
     rows = X.char_edits(spark, sf)
@@ -573,6 +596,26 @@ def predictions_file(spark, sf):
     return lines.read_lines(spark, path)
 
 
+@query
+def evaluation_files(spark, sf):
+    """Targets and predictions of one evaluation, written side by side and zipped again."""
+    root = scratch_path(spark, "evaluation")
+    sinks.write_evaluation(X.pairs(spark, sf).withColumnRenamed("hyp_text", "prediction"), root, "run-1")
+    sides = [lines.read_lines(spark, f"{root}/run-1/{name}", name) for name in ("targets", "predictions")]
+    return S.zip_on_id(*sides)
+
+
+@query
+def split_files(spark, sf):
+    """Both parts as CSV, the test part as aligned text files too; all read back."""
+    root = scratch_path(spark, "splits")
+    sinks.write_splits({"train": c4_like(spark, sf), "test": merlin_like(spark, sf)}, root)
+    csv = [files.read_pair_csv(spark, f"{root}/{name}.csv").select(F.lit(name).alias("part"), "*") for name in ("train", "test")]
+    sides = [lines.read_lines(spark, f"{root}/test-{side}.txt", f"{side}_text") for side in ("input", "target")]
+    text = S.zip_on_id(*sides).select(F.lit("text").alias("part"), "input_text", "target_text")
+    return csv[0].unionByName(csv[1]).unionByName(text)
+
+
 @query
 def json_lines_source(spark, sf):
     root = scratch_path(spark, "merlin")
@@ -598,8 +641,7 @@ def _typed_pairs(pairs):
 def m2_roundtrip(spark, sf):
     """Edits written as M2 blocks and parsed again, one row per edit or noop."""
     path = scratch_path(spark, "m2")
-    pairs = token_pairs(spark, sf)
-    sinks.write_m2(pairs.select("sent_id", "original"), _typed_pairs(pairs), path)
+    sinks.write_pairs_m2(token_pairs(spark, sf), path)
     return m2.m2_edits(m2.read_m2(spark, path), ignore_noop=False)
 
 

@@ -474,6 +474,10 @@ ORACLE = {
     "c4_like": C4,
     "jfleg_like": JFLEG,
     "wi_like": WI,
+    "locness_like": WI.replace("'wi'", "'locness'"),
+    "batch_columns": f"""
+      SELECT sent_id, gap, CASE WHEN gap > 0 THEN target_text ELSE input_text END AS longer
+      FROM (SELECT *, (length(target_text) - length(input_text))::INT AS gap FROM ({X.PAIRS_SQL}))""",
     "apply_char_edits": f"SELECT sent_id, corrected FROM ({CHAR_EDITED})",
     "canonical_union": STACK,
     "seeded_shuffle_topn": f"SELECT sent_id, input_text, target_text FROM ({C4}) ORDER BY {SHUFFLE}, sent_id LIMIT {N_EVAL}",
@@ -547,6 +551,12 @@ ORACLE = {
     "csv_roundtrip": f"""SELECT doc_id AS sent_id, ' "a, b" ' || text || '\\ "' AS input_text, '' AS target_text FROM ({X.PADDED_SQL})""",
     "text_roundtrip": f"SELECT line_no AS sent_id, original, corrected FROM ({numbered(MERLIN)})",
     "predictions_file": f"SELECT line_no AS sent_id, {strip('hyp_text')} AS text FROM ({numbered(X.PAIRS_SQL)})",
+    "evaluation_files": f"""
+      SELECT line_no AS sent_id, {strip('target_text')} AS targets, {strip('hyp_text')} AS predictions FROM ({numbered(X.PAIRS_SQL)})""",
+    "split_files": f"""
+      SELECT 'train' AS part, input_text, target_text FROM ({C4})
+      UNION ALL SELECT 'test', input_text, target_text FROM ({MERLIN})
+      UNION ALL SELECT 'text', original, corrected FROM ({MERLIN})""",
     "json_lines_source": detokenized(
         "merlin",
         f"SELECT * FROM (SELECT line_no AS sent_id, {strip('original')} AS original, {strip('corrected')} AS corrected "

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
 
 from redpen.functions.text import clean_task_prefix
 from redpen.schema import PAIR_COLUMNS, PAIRS
@@ -105,3 +110,36 @@ def training_frame(pairs: DataFrame, task_prefix: str) -> DataFrame:
 def map_columns(df: DataFrame, derived: dict[str, Column]) -> DataFrame:
     """Add or replace columns, all computed from the incoming row."""
     return df.withColumns(derived)
+
+
+#: Called once in each Python worker; gives a function from the input columns to the output columns, by name.
+BatchFunction = Callable[[], Callable[[dict[str, pa.Array]], Mapping[str, pa.Array | list]]]
+
+
+def map_batches(df: DataFrame, make: BatchFunction, inputs: Sequence[str], schema: str) -> DataFrame:
+    """Add or replace columns computed from whole batches of several others.
+
+    Only ``inputs`` travel to Python and only the columns of ``schema`` come back, as one
+    Arrow struct; all other columns stay where they are. A batch that gives other columns than
+    declared, or another number of rows, fails the job.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    names, held = list(inputs), []
+
+    @F.arrow_udf(T.StructType(fields))
+    def run(*columns: pa.Array) -> pa.Array:
+        if not held:
+            held.append(make())
+        made = held[0](dict(zip(names, columns)))
+        wanted = [f.name for f in fields]
+        if sorted(made) != sorted(wanted) or any(len(made[name]) != len(columns[0]) for name in wanted):
+            raise ValueError(f"a batch must give {wanted}, one value for each row")
+        arrays = []
+        for field in fields:
+            kind, value = to_arrow_type(field.dataType), made[field.name]
+            arrays.append(value.cast(kind) if isinstance(value, pa.Array) else pa.array(value, kind))
+        return pa.StructArray.from_arrays(arrays, wanted)
+
+    # Nondeterministic, so that no filter above runs it twice.
+    called = df.withColumn("_made", run.asNondeterministic()(*[F.col(f"`{c}`") for c in names]))
+    return called.withColumns({f.name: F.col("_made")[f.name] for f in fields}).drop("_made")

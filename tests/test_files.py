@@ -9,6 +9,8 @@ from redpen.plans import evaluate as V
 from redpen.plans.prepare import PrepareConfig
 from redpen.plans.stages import ChainConfig, run_chain
 from redpen.session import scratch_root
+from redpen.operators import classify as C
+from redpen.operators import edits as E
 from redpen.sources import corpora, files, lines, m2, sinks
 
 M2_TEXT = """S This are gramamtical sentence .
@@ -210,3 +212,16 @@ def test_cluster_sessions_need_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         scratch_root(Session())
+
+
+def test_m2_straight_from_pairs_equals_the_grouped_one(spark, tmp_path):
+    rows = [(1, "a teh b", "a the b"), (2, "same", "same"), (3, "x b a y", "x a b , y"), (4, "", "new one"), (5, "old", "")]
+    pairs = spark.createDataFrame(rows, "sent_id long, original string, corrected string")
+    for extraction in ({}, {"merge": "rules", "cost": "likeness"}):
+        edits = E.extract_edits(pairs, compare_first=False, **extraction)
+        typed = edits.withColumn("type", E.m2_type(F.col("op"), C.category_rules(F.col("o_str"), F.col("c_str"))))
+        grouped = sinks.m2_blocks(pairs.select("sent_id", "original"), typed)
+        straight = sinks.pair_blocks(pairs, **extraction)
+        assert sorted(map(tuple, straight.collect())) == sorted(map(tuple, grouped.collect()))
+        plan = straight._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan

@@ -117,3 +117,18 @@ def test_references_that_do_not_fit_fail(spark):
     df = spark.createDataFrame([(1 << 44, ["a", "b"])], "sent_id long, corrections array<string>")
     with pytest.raises(Exception, match="too large"):
         R.explode_references(df, "corrections", "corrected").collect()
+
+
+def test_batches_of_several_columns(spark):
+    df = spark.createDataFrame([(1, "ab", None, 0.5), (2, None, "c", 1.5), (3, "d", "ef", None)], "sent_id long, a string, `b.c` string, keep double")
+
+    def make():
+        return lambda c: {"joined": [f"{x}{y}" for x, y in zip(c["a"].to_pylist(), c["b.c"].to_pylist())], "keep": c["a"].is_null()}
+
+    got = R.map_batches(df, make, ["a", "b.c"], "joined string, keep boolean")
+    assert {tuple(r) for r in got.select("sent_id", "joined", "keep").collect()} == {(1, "abNone", False), (2, "Nonec", True), (3, "def", False)}
+    assert got.columns == ["sent_id", "a", "b.c", "keep", "joined"]
+    assert R.map_batches(df.limit(0), make, ["a", "b.c"], "joined string, keep boolean").count() == 0
+    for wrong in ({"other": [1]}, {"x": []}):
+        with pytest.raises(Exception, match="a batch must give"):
+            R.map_batches(df, lambda w=wrong: lambda c: w, ["a"], "x int").select("x").collect()
