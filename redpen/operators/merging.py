@@ -111,7 +111,9 @@ def _one_class(pos: pa.Array, o: np.ndarray, c: np.ndarray, none: int) -> np.nda
 def _join_words(cut: np.ndarray, ops, row, values: pa.Array, o, c, none: int) -> None:
     """Windows whose letters are the same on both sides become one edit, the shortest from each place."""
     edit = (ops != L.MATCH) & (ops < L.MOVED)
-    sized = np.append(np.array([sum(ch not in JOINTS for ch in w) for w in values.to_pylist()] or [0]), 0)
+    coded = values.dictionary_encode()
+    lengths = np.array([len(w) - sum(map(w.count, JOINTS)) for w in coded.dictionary.to_pylist()] or [0])
+    sized = np.append(lengths[coded.indices.to_numpy(zero_copy_only=False)], 0)
     lead = np.concatenate([[0], np.cumsum(sized[o] - sized[c])])
     taken = 0
     letters = lambda place: "".join(ch for at in place if at != none for ch in values[int(at)].as_py().lower() if ch not in JOINTS)
