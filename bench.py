@@ -32,6 +32,8 @@ HEADLINE = (
     "highlight_segments",
     "check",
     "m2_roundtrip",
+    "extract_edits_rules",
+    "score_by_families",
 )
 
 

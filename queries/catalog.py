@@ -548,7 +548,7 @@ def check_stream(spark, sf):
     texts = stream.select(F.col("doc_id").alias("sent_id"), X.replace_all(F.col("text"), X.MISSPELLED).alias("input_text"))
     out = scratch_path(spark, "checked")
     stream_check(texts, plain_repair_model, out, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select("sent_id", "output_text")
+    return spark.read.parquet(out).select("sent_id", "output_text", "markup")
 
 
 @query
@@ -728,7 +728,9 @@ def run_log(spark, sf):
     sinks.write_predictions(tagged, predictions)
     config = files.flatten_config({"model_name": "lexicon", "batch_size": 16}, {"batch_size": 8})
     sinks.log_run(spark, root, "run-1", config, results, predictions)
-    runs = spark.read.parquet(f"{root}/runs").select("run_id", F.col("config")["batch_size"].alias("batch_size"))
+    counts = [F.get_json_object("results", f"$.overall.{c}").cast("long").alias(c) for c in ("tp", "fp", "fn")]
+    logged = spark.read.parquet(f"{root}/runs")
+    runs = logged.select("run_id", F.col("config")["batch_size"].alias("batch_size"), *counts)
     return runs.join(spark.read.parquet(f"{root}/run_predictions"), "run_id")
 
 

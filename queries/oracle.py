@@ -74,6 +74,9 @@ CHECKED = _marked(
     [(" the ", f" teh{ARROW}the "), (" de ", " ed "), (" der ", " dre "), (" to ", " too ")], f"very{ARROW}", None
 )
 
+_REPAIRED = [(" the ", f" teh{ARROW}the "), (" de ", " ed "), (" der ", " dre ")]
+CHECKED_DOCUMENTS = f"SELECT doc_id AS sent_id, {tokenize(replaced('text', _REPAIRED))} AS marked FROM documents"
+
 
 def marks(marked: str) -> str:
     """Tokens with both sides and their positions: sent_id, k, o, c, ch, o_at, c_at."""
@@ -544,7 +547,9 @@ ORACLE = {
     "check": f"""
       SELECT p.sent_id, input_text, {repaired('input_text')} AS output_text, markup
       FROM ({X.PAIRS_SQL}) p JOIN ({markup(CHECKED)}) m USING (sent_id)""",
-    "check_stream": f"SELECT doc_id AS sent_id, {repaired(replaced('text', X.MISSPELLED))} AS output_text FROM documents",
+    "check_stream": f"""
+      SELECT doc_id AS sent_id, {repaired(replaced('text', X.MISSPELLED))} AS output_text, coalesce(markup, '') AS markup
+      FROM documents LEFT JOIN ({markup(CHECKED_DOCUMENTS)}) ON doc_id = sent_id""",
     "tag_stream": f"""
       SELECT conv_id * 1000 + turn AS sent_id, {tokenize(repaired(replaced('text', X.MISSPELLED)))} AS prediction
       FROM conversations""",
@@ -574,5 +579,7 @@ ORACLE = {
     "evaluate_files_noop": scored(f"SELECT {SUMS} FROM ({flags(f'{strict(GOLD)} UNION ALL {NO_EDIT}', strict(HYP), STRICT)})"),
     "stage_chain": _chain(),
     "results_json": REPORT,
-    "run_log": f"SELECT 'run-1' AS run_id, '8' AS batch_size, line_no AS sent_id, {strip('hyp_text')} AS text FROM ({numbered(X.PAIRS_SQL)})",
+    "run_log": f"""
+      SELECT 'run-1' AS run_id, '8' AS batch_size, line_no AS sent_id, {strip('hyp_text')} AS text, tp, fp, fn
+      FROM ({numbered(X.PAIRS_SQL)}), (SELECT tp, fp, fn FROM ({REPORT}) WHERE category IS NULL)""",
 }
