@@ -12,15 +12,18 @@ counts of its distinct items: word pairs, words, and words as contexts. Equal
 items of all blocks meet in one of 2 ** ``PART_BITS`` or more parts, the first
 bits of the item's hash, are added up there, and each block gets its sums back in the order
 of its questions. A block asks for an item once however often it holds it, so a
-part never has more rows of one item than there are blocks.
+part never has more rows of one item than there are blocks. Sorted items travel
+as gaps. Items of frequent words only, at most ``COMMON`` of them in a broadcast
+list, are 32-bit numbers and need a third of the bytes; the list decides how an
+item is written, never what is counted.
 
 p(w | v) = (n(v, w) + K * p(w)) / (n(v) + K), p(w) = (n(w) + 1) / (n + size),
 with K = ``PRIOR`` and size the number of words and one class more, which also
 stands before a text's first word.
 
 A word is a run of bytes other than space and 09-0D, with A-Z lower-cased,
-known by a 64-bit hash, an item by one of 63 bits: among 10**9 distinct items
-two share one, and add up, with a chance of 5 in 100. With ``size`` only that many of the most frequent words are told
+known by a 64-bit hash, an item of rarer words by one of 62 bits: among 10**9
+distinct items two share one, and add up, with a chance of 1 in 10. With ``size`` only that many of the most frequent words are told
 apart, in order of code points where equally frequent, and all others are the
 class that stands before the first word. Defined cases: null text is empty; a
 text without words has no losses and no score (null); without target documents
@@ -33,6 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +48,14 @@ PRIOR = 50.0
 #: Distinct words a task holds before it hands their counts on, or forgets their hashes.
 HELD_WORDS = 400_000
 #: Words after which a block ends; a text is never cut.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 1_000_000
 #: Parts of the items are 2 ** this; more from that many times these words on.
-PART_BITS, PART_WORDS = 11, 2_500_000
+PART_BITS, PART_WORDS = 10, 2_500_000
+#: Most entries of the list of frequent words, and how often a block must hold a word to name it.
+COMMON, OFTEN = 65_535, 8
+#: An odd factor spreads the numbers of common items over all parts; its inverse gives them back.
+_FACTOR = 0x9E3779B1
+_INVERSE = pow(_FACTOR, -1, 1 << 32)
 #: The class of other words, and what stands for any word in an item.
 OTHER, ANY = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -98,20 +107,35 @@ class Coder(dict):
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers as planes of their bytes: the empty high bytes take no room once compressed."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Numbers as compressed planes of their bytes: the empty high bytes take no room."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def unpacked(planes: bytes, kind: type) -> np.ndarray:
-    rows = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(rows.T).view(kind).ravel()
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(zstandard.decompress(planes), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, len(flat) // width).T).view(kind).ravel()
 
 
-_BLOCK = "block long, n_words long, keys array<{}>, counts binary, words binary, places binary"
+def gaps(ordered: np.ndarray, base: int) -> bytes:
+    return packed(np.diff(ordered, prepend=ordered.dtype.type(base)))
+
+
+def from_gaps(planes: bytes, kind: type, base: int) -> np.ndarray:
+    return np.cumsum(unpacked(planes, kind), dtype=kind) + kind(base)
+
+
+def frequent_first(times: np.ndarray) -> np.ndarray:
+    """The order of a block's words: the class of other words, then by falling count."""
+    return np.concatenate([[0], 1 + np.argsort(-times[1:].astype(np.int64), kind="stable")]).astype(np.int64)
+
+
+_BLOCK = "block long, n_words long, keys array<{}>, counts binary, words binary, times binary, places binary"
 
 
 def blocks(docs: DataFrame, known: list[bytes] | None, kind: str) -> DataFrame:
-    """Blocks of whole texts from (key, text): distinct word hashes, and each word's place among them."""
+    """Blocks of whole texts from (key, text): distinct word hashes, their counts, and each word's place among them."""
     shared = docs.sparkSession.sparkContext.broadcast(None if known is None else frozenset(known))
     schema = _BLOCK.format(kind)
     out = arrow_schema(schema)
@@ -122,10 +146,12 @@ def blocks(docs: DataFrame, known: list[bytes] | None, kind: str) -> DataFrame:
 
         def made():
             counts = np.array([len(x) for x in lists], np.int64)
-            codes, places = np.unique(np.concatenate([[OTHER], *lists]).astype(np.uint64), return_inverse=True)
-            row = [
-                first + turn, int(counts.sum()), keys, packed(counts), codes.tobytes(), packed(places[1:].astype(np.uint32))
-            ]
+            told = np.concatenate([[OTHER], *lists]).astype(np.uint64)
+            codes, places, times = np.unique(told, return_inverse=True, return_counts=True)
+            rank = np.empty(len(codes), np.uint32)
+            rank[frequent_first(times)] = np.arange(len(codes), dtype=np.uint32)
+            coded = packed(counts), gaps(codes, 0), packed(times.astype(np.uint32)), packed(rank[places[1:]])
+            row = [first + turn, int(counts.sum()), keys, *coded]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out)], schema=out)
 
         for batch in batches:
@@ -145,12 +171,65 @@ def blocks(docs: DataFrame, known: list[bytes] | None, kind: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def common_words(made: DataFrame) -> np.ndarray:
+    """Sorted hashes of at most ``COMMON`` frequent words, the class of other words among them."""
+
+    def run(batches):
+        for batch in batches:
+            for held, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                times = unpacked(seen, np.uint32)
+                often = times >= OFTEN
+                codes = from_gaps(held, np.uint64, 0)[often].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times[often].astype(np.int64))], ["word", "n"])
+
+    named = made.select("words", "times").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    named = stored(named.withColumn("grade", F.floor(4 * F.log2("n"))), "common")
+    least, room = None, COMMON - 1
+    for grade, n in sorted(map(tuple, named.groupBy("grade").count().collect()), reverse=True):
+        if n > room:
+            break
+        least, room = grade, room - n
+    rows = named.where(F.col("grade") >= least).select("word").collect() if least is not None else []
+    return np.unique(np.array([int(OTHER), *(r.word & int(ANY) for r in rows)], np.uint64))
+
+
+def numbered(codes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places in the common list from 1, 0 for ``ANY``, ``COMMON`` + 1 for words that are not in it."""
+    place = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+    return np.where(codes == ANY, 0, np.where(common[place] == codes, place + 1, COMMON + 1)).astype(np.uint64)
+
+
+def coded(v: np.ndarray, w: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Items as 64 bits. The last bit tells words from other items, the one before numbers from hashes."""
+    single = (v == ANY).astype(np.uint64)
+    hashed = mixed(v ^ mixed(w)) >> np.uint64(2) << np.uint64(2)
+    a, b = numbered(v, common), numbered(w, common)
+    number = (a << np.uint64(16) | b) * np.uint64(_FACTOR) & np.uint64(0xFFFFFFFF)
+    near = (a <= COMMON) & (b <= COMMON)
+    return np.where(near, number << np.uint64(32) | np.uint64(2), hashed) | single
+
+
+def sent(items: np.ndarray, part: int, bits: int) -> tuple[bytes, bytes]:
+    """A part's ordered items: numbers and hashes apart, as gaps."""
+    near = items & np.uint64(2) > 0
+    numbers = (items[near] >> np.uint64(32)).astype(np.uint32)
+    return gaps(numbers, part << (32 - bits)), gaps(items[~near], part << (64 - bits))
+
+
+def received(near: bytes, far: bytes, part: int, bits: int) -> np.ndarray:
+    numbers = from_gaps(near, np.uint32, part << (32 - bits)).astype(np.uint64)
+    single = numbers * np.uint64(_INVERSE) & np.uint64(0xFFFFFFFF) < 1 << 16
+    numbers = numbers << np.uint64(32) | np.uint64(2) | single.astype(np.uint64)
+    return np.sort(np.concatenate([numbers, from_gaps(far, np.uint64, part << (64 - bits))]))
+
+
 class Block:
     """A block's items, in the order in which it asks for them."""
 
-    def __init__(self, counts: bytes, words: bytes, places: bytes):
+    def __init__(self, counts: bytes, words: bytes, times: bytes, places: bytes, common: np.ndarray):
         self.counts = unpacked(counts, np.int64)
-        codes, self.after = np.frombuffer(words, np.uint64), unpacked(places, np.uint32).astype(np.int64)
+        self.after = unpacked(places, np.uint32).astype(np.int64)
+        codes = from_gaps(words, np.uint64, 0)[frequent_first(unpacked(times, np.uint32))]
         self.size = len(codes)
         self.before = np.concatenate([[0], self.after[:-1]])[: len(self.after)]
         starts = np.cumsum(self.counts) - self.counts
@@ -160,8 +239,7 @@ class Block:
         self.n_pairs = len(pairs)
         v = np.concatenate([codes[pairs // self.size], codes, any_word])
         w = np.concatenate([codes[pairs % self.size], any_word, codes])
-        # The last bit tells words from the other items.
-        self.item = mixed(v ^ mixed(w)) >> np.uint64(1) << np.uint64(1) | (v == ANY)
+        self.item = coded(v, w, common)
         self.order = np.argsort(self.item, kind="stable")
 
     def totals(self, weights: np.ndarray | None = None) -> np.ndarray:
@@ -177,7 +255,7 @@ class Block:
         return pairs[self.pair], contexts[self.before], singles[self.after]
 
 
-_WORDS = ["counts", "words", "places"]
+_WORDS = ["counts", "words", "times", "places"]
 
 
 def targets(made: DataFrame, good: DataFrame) -> DataFrame:
@@ -187,14 +265,14 @@ def targets(made: DataFrame, good: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list("place").alias("good"))
 
 
-def questions(made: DataFrame, bits: int) -> DataFrame:
-    """(part, block, items, n, good): a block's items of one part, and how often it holds them."""
+def questions(made: DataFrame, bits: int, common) -> DataFrame:
+    """(part, block, near, far, n, good): a block's items of one part, and how often it holds them."""
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                block = Block(*(row[c] for c in _WORDS))
+                block = Block(*(row[c] for c in _WORDS), common.value)
                 flags = np.zeros(len(block.counts))
                 flags[row["good"] or []] = 1
                 sums = block.totals(), block.totals(np.repeat(flags, block.counts))
@@ -203,16 +281,20 @@ def questions(made: DataFrame, bits: int) -> DataFrame:
                 starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)]))
                 columns = [pa.array(part[starts]), pa.array(np.full(len(starts), row["block"], np.int64))]
-                columns += [pa.array([packed(x[a:b]) for a, b in spans], pa.binary()) for x in (items, n, good)]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "items", "n", "good"])
+                asked = [sent(items[a:b], int(part[a]), bits) for a, b in spans]
+                columns += [pa.array(x, pa.binary()) for x in zip(*asked)]
+                columns += [pa.array([packed(x[a:b]) for a, b in spans], pa.binary()) for x in (n, good)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "near", "far", "n", "good"])
 
-    return made.select("block", *_WORDS, "good").mapInArrow(run, "part int, block long, items binary, n binary, good binary")
+    schema = "part int, block long, near binary, far binary, n binary, good binary"
+    return made.select("block", *_WORDS, "good").mapInArrow(run, schema)
 
 
-def _answers(table: pa.Table) -> pa.Table:
+def _answers(table: pa.Table, bits: int) -> pa.Table:
     """Sums over all blocks for each row's items, and on the first row how many are words and how often these occur."""
-    kinds = {"items": np.uint64, "n": np.uint32, "good": np.uint32}
-    lists = [[unpacked(x, kind) for x in table[c].to_pylist()] for c, kind in kinds.items()]
+    part = table["part"][0].as_py()
+    lists = [[received(*x, part, bits) for x in zip(table["near"].to_pylist(), table["far"].to_pylist())]]
+    lists += [[unpacked(x, np.uint32) for x in table[c].to_pylist()] for c in ("n", "good")]
     items, place = np.unique(np.concatenate(lists[0]), return_inverse=True)
     ends = np.cumsum([len(x) for x in lists[0]])[:-1]
     single = items & np.uint64(1) > 0
@@ -253,9 +335,10 @@ def score(
     made = stored(blocks(docs.select(key, text), known, kind), "blocks")
     ours = stored(targets(made, good.select(F.col(key).alias("good_key")).distinct()), "targets")
     bits = max(PART_BITS, ((made.agg(F.sum("n_words")).first()[0] or 0) // PART_WORDS).bit_length())
+    common = docs.sparkSession.sparkContext.broadcast(common_words(made))
 
-    answers = questions(made.join(ours, "block", "left"), bits).groupBy("part").applyInArrow(
-        _answers, "part int, block long, n binary, good binary, classes long, n_words long, n_good long"
+    answers = questions(made.join(ours, "block", "left"), bits, common).groupBy("part").applyInArrow(
+        lambda table: _answers(table, bits), "part int, block long, n binary, good binary, classes long, n_words long, n_good long"
     )
     answers = stored(answers, "answers")
     # Every block asks for the class of other words too.
@@ -265,7 +348,7 @@ def score(
 
     def scored(mine: pa.Table, sums: pa.Table) -> pa.Table:
         row = mine.to_pylist()[0]
-        block = Block(*(row[c] for c in _WORDS))
+        block = Block(*(row[c] for c in _WORDS), common.value)
         sums = sums.sort_by("part")
         owner, none = np.repeat(np.arange(len(block.counts)), block.counts), block.counts == 0
         means = []

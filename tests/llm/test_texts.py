@@ -195,6 +195,42 @@ def test_cross_entropy_tells_all_words_apart(monkeypatch, spark):
             assert got == (pytest.approx(sum(loss(*p) for p in own) / len(own)) if own else None)
 
 
+def test_cross_entropy_items_travel_whole():
+    random_ = np.random.Generator(np.random.PCG64(9))
+    common = np.unique(np.append(random_.integers(1, 1 << 63, 3000).astype(np.uint64), np.uint64(0)))
+    words = np.concatenate([common[:2000], random_.integers(1, 1 << 63, 2000).astype(np.uint64), [cross_entropy.ANY]])
+    v, w = (words[random_.integers(0, len(words), 20000)] for _ in range(2))
+    items = np.unique(cross_entropy.coded(v, w, common))
+    assert len(items) == len(set(zip(v.tolist(), w.tolist())))
+    single = {(a, b) for a, b in zip(v.tolist(), w.tolist()) if a == int(cross_entropy.ANY)}
+    assert np.count_nonzero(items & np.uint64(1)) == len(single)
+    part = items >> np.uint64(61)
+    for p in range(8):
+        own = items[part == p]
+        assert (cross_entropy.received(*cross_entropy.sent(own, p, 3), p, 3) == own).all()
+    none = np.empty(0, np.uint64)
+    assert len(cross_entropy.received(*cross_entropy.sent(none, 5, 3), 5, 3)) == 0
+
+
+@pytest.mark.parametrize(("common", "often"), [(65_535, 1), (40, 2), (1, 1)])
+def test_cross_entropy_is_the_same_however_items_are_written(monkeypatch, spark, docs, common, often):
+    good = spark.createDataFrame([(7,), (4,)], "doc_id long")
+    expected = by_id(cross_entropy.score(docs, good))
+    monkeypatch.setattr(cross_entropy, "OFTEN", often)
+    monkeypatch.setattr(cross_entropy, "COMMON", common)
+    monkeypatch.setattr(cross_entropy, "BLOCK_WORDS", 50)
+    found = by_id(cross_entropy.score(docs, good))
+    assert found.keys() == expected.keys()
+    for i, row in found.items():
+        assert row.score == (None if expected[i].score is None else pytest.approx(expected[i].score))
+
+
+def test_cross_entropy_of_no_rows(spark, docs):
+    good = spark.createDataFrame([(7,)], "doc_id long")
+    assert cross_entropy.score(docs.limit(0), good).count() == 0
+    assert {r.score is None for r in cross_entropy.score(docs, good.limit(0)).collect() if r.n_tokens == 0} == {True}
+
+
 def test_losses_are_probabilities():
     counts = np.random.Generator(np.random.PCG64(1)).integers(0, 9, (6, 6)).astype(float)
     assert np.exp(-cross_entropy.losses(counts)).sum(axis=1) == pytest.approx(1)
