@@ -1,23 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target divided by its size is the number of copies each of its
-documents should get on average. The whole part is given to all of them; the
-fraction p is the inclusion probability of one copy more. Documents are
-ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and
-the smallest are taken until the sample has its fixed size, here in words:
+A source's target is shared among its documents by length: a document of k
+binary digits of words gets k times its source's level in copies, two at most,
+on average. The level is found from the words of each length class, in the
+order in which the classes reach two. The whole part of the copies is given to
+all; the fraction p is the inclusion probability of one copy more. Documents
+are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)),
+and the smallest are taken until the sample has its fixed size, here in words:
 the prefix of the order whose words come nearest to what the target still
-needs. u comes from a hash of the id, so reruns agree.
+needs. u comes from a hash of id and text, so reruns agree.
 
-p is the same for all documents of a source and differs between sources, so
-within a source the order is that of u. Rows are counted by (source, bucket
-of u) with buckets of about ``BUCKET_ROWS`` rows, which spreads a source that
-holds most rows over many tasks; running sums over bucket totals and then
-inside buckets find each source's last document taken. A document is taken
-again if it is not beyond that one: a comparison, without moving its text.
+Rows are counted by (source, bucket of odds), with about ``BUCKET_ROWS`` rows in
+the buckets near the last document taken, however p differs: odds are scaled so
+that documents of the source's mean p lie evenly. Running sums over bucket
+totals find the bucket in which the source's sample ends; only that one is put
+in order. A document is taken again if it is not beyond the last one: a
+comparison, without moving its text.
 
 Defined cases: null text has no words; null source is a source of its own,
-last in order; rows with equal ids and sources share u and are taken
-together; a source without words has target 0; an empty table gives no rows.
+last in order; null and repeated ids are told apart by their texts; rows with
+equal id, text and source share u and are taken together; a source without
+words has target 0 and gives no copies; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,16 +41,21 @@ def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
 
-def draw(key: str = "doc_id") -> Column:
-    """A number below 2**52 from the id; u is this plus a half, over 2**52."""
-    digits = F.substring(F.md5(F.col(key).cast("string")), 1, _HEX_DIGITS)
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0))
+def draw(key: str = "doc_id", text: str = "text") -> Column:
+    """A number below 2**52 from id and text; u is this plus a half, over 2**52."""
+    parts = [F.coalesce(c, F.lit("n")) for c in (F.col(key).cast("string"), F.md5(F.col(text)))]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, _HEX_DIGITS), 16, 10).cast("long")
 
 
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def length_class(size: Column) -> Column:
+    """Binary digits of the size: the weight of a document within its source."""
+    return F.length(F.bin(size)).cast("int")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """Per source: what it shall give. One row per source goes through one task.
 
@@ -74,6 +82,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return sized.select("key", "source_size", "n", target.alias("target"))
 
 
+def expected(classes: DataFrame, most: float) -> DataFrame:
+    """Per (key, class): ``whole`` copies for all and the probability ``p`` of one more.
+
+    ``classes`` has (key, class, words, source_size, target). Long classes reach
+    ``most`` first, so one running sum finds the level at which the rest is filled.
+    """
+    order = W.partitionBy("key").orderBy(F.col("class").desc())
+    earlier = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(most))
+    here_on = F.sum(F.col("class") * F.col("words")).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    leveled = classes.withColumn("level", F.try_divide(F.col("target") - earlier, here_on.cast("double")))
+    first = F.max(F.when(F.col("class") * F.col("level") <= most, F.struct("class", "level"))).over(W.partitionBy("key"))
+    level = F.coalesce(first["level"], F.lit(float(most)))
+    copies = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("class") * level)).otherwise(0.0)
+    leveled = leveled.withColumn("copies", copies).withColumn("whole", F.floor("copies").cast("long"))
+    return leveled.withColumn("p", F.col("copies") - F.col("whole")).drop("level", "copies")
+
+
+def odds() -> Column:
+    """Random odds over inclusion odds of a row with its ``draw`` and its class's ``p``."""
+    u = (F.col("draw") + 0.5) / F.lit(float(1 << 52))
+    return F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
+
+
+def bucket() -> Column:
+    """The place of the odds among the source's buckets; rising with the odds."""
+    scaled = odds() * F.col("mean") / (1 - F.col("mean"))
+    return F.floor(F.col("buckets") * (1 - 1 / (1 + scaled))).cast("long")
+
+
 def plan(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -83,59 +120,52 @@ def plan(
     text: str = "text",
     source: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows' (doc_id, size, key, draw), and per source target, whole copies and last document taken."""
-    rows = stored(
-        docs.select(
-            F.col(key).alias("doc_id"), words(text).alias("size"), source_key(source).alias("key"), draw(key).alias("draw")
-        ),
-        "sizes",
-    )
-    sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    aims = targets(sizes, weights, share, most).withColumn("whole", whole.cast("long"))
-    need = F.col("target") - F.col("whole") * F.col("source_size")
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long")
-    aims = stored(aims.withColumn("need", need).withColumn("buckets", buckets), "targets")
-
-    # draw is below 2**52; dividing by the bucket's width keeps draws in order.
-    width = F.ceil(F.lit(float(1 << 52)) / F.col("buckets")).cast("long")
-    part = F.col("need") / F.col("source_size")
-    u = (F.col("draw") + 0.5) / F.lit(float(1 << 52))
-    ranked = (
-        rows.join(aims, "key")
-        .where(F.col("need") > 0)
-        .select(
-            "key",
-            "doc_id",
-            "size",
-            "draw",
-            "need",
-            F.floor(F.col("draw") / width).alias("bucket"),
-            ((u / (1 - u)) / (part / (1 - part))).alias("odds"),
-        )
+    """The rows' (doc_id, size, key, class, draw), and per (key, class) target, copies and where the sample ends."""
+    rows = docs.select(
+        F.col(key).alias("doc_id"), words(text).alias("size"), source_key(source).alias("key"), draw(key, text).alias("draw")
     )
-    ranked = stored(ranked, "ranked")
-    before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = ranked.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    totals = totals.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("key", "bucket").orderBy("odds", "draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    running = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    taken = ranked.join(totals, ["key", "bucket"]).where(F.col("before") <= F.col("need")).withColumn("running", running)
-    taken = taken.where(2 * F.col("running") + F.col("size") <= 2 * F.col("need"))
-    last = taken.groupBy("key").agg(F.max(F.struct("draw", "doc_id")).alias("last"))
-    return rows, stored(aims.join(last, "key", "left").select("key", "source_size", "target", "whole", "last"), "plan")
-
-
-def copies(key: str = "doc_id") -> Column:
-    """Copies of a row that has its source's ``whole`` and ``last`` beside it, and its own ``draw``."""
-    again = F.struct(F.col("draw"), F.col(key).alias("doc_id")) <= F.col("last")
-    return F.col("whole") + F.when(F.coalesce(again, F.lit(False)), 1).otherwise(0)
+    rows = stored(rows.withColumn("class", length_class(F.col("size"))), "sizes")
+    classes = stored(rows.groupBy("key", "class").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "classes")
+    sizes = classes.groupBy("key").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
+    aims = targets(sizes, weights, share, most).drop("n")
+    shared = expected(classes.join(aims, "key"), most)
+    own = W.partitionBy("key")
+    drawn = F.col("p") > 0
+    mass = F.sum(F.when(drawn, F.col("words")).otherwise(0)).over(own)
+    shared = shared.withColumn("need", F.sum(F.col("p") * F.col("words")).over(own))
+    mean = F.coalesce(F.try_divide(F.col("need"), mass.cast("double")), F.lit(0.5))
+    shared = shared.withColumn("mean", F.greatest(F.least(mean, F.lit(1 - 1e-9)), F.lit(1e-9)))
+    buckets = F.ceil(F.sum(F.when(drawn, F.col("n")).otherwise(0)).over(own) / BUCKET_ROWS)
+    shared = stored(shared.withColumn("buckets", F.greatest(F.lit(1), buckets).cast("long")).drop("words", "n"), "targets")
+
+    ranked = rows.join(shared.where(drawn), ["key", "class"])
+    ranked = stored(ranked.select("key", "size", "draw", "need", odds().alias("odds"), bucket().alias("bucket")), "ranked")
+    upto = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranked.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    totals = totals.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    edge = totals.where(F.col("before") <= F.col("need")).groupBy("key")
+    edge = edge.agg(F.max(F.struct("bucket", "before")).alias("edge")).select("key", "edge.*")
+    last = ranked.join(edge, ["key", "bucket"]).groupBy("key", "odds", "draw")
+    last = last.agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("before").alias("before"))
+    inside = W.partitionBy("key").orderBy("odds", "draw").rowsBetween(W.unboundedPreceding, -1)
+    last = last.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    last = last.where(2 * F.col("before") + F.col("words") <= 2 * F.col("need"))
+    last = last.groupBy("key").agg(F.max(F.struct("odds", "draw")).alias("last"))
+    ends = edge.select("key", F.col("bucket").alias("edge")).join(last, "key", "left")
+    return rows, stored(shared.join(ends, "key", "left"), "plan")
+
+
+def copies() -> Column:
+    """Copies of a row that has its class's plan beside it, and its own ``draw``."""
+    inside = (bucket() == F.col("edge")) & (F.struct(odds().alias("odds"), F.col("draw")) <= F.col("last"))
+    again = (bucket() < F.col("edge")) | F.coalesce(inside, F.lit(False))
+    return F.col("whole") + F.when((F.col("p") > 0) & again, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """Per row: its size, its source's size and target, and the words the mix takes of it."""
     rows, chosen = plan(docs, **settings)
-    return rows.join(chosen, "key").select(
+    return rows.join(chosen, ["key", "class"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies()).cast("long").alias("taken")
     )
 
@@ -145,8 +175,13 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     _, chosen = plan(docs, key=key, text=text, source=source, **settings)
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    own = docs.select(*columns, source_key(source).alias("key"), draw(key).alias("draw"))
-    repeated = own.join(chosen, "key").withColumn("copies", copies(at[key]).cast("int"))
+    own = docs.select(
+        *columns,
+        source_key(source).alias("key"),
+        length_class(words(text)).alias("class"),
+        draw(key, text).alias("draw"),
+    )
+    repeated = own.join(chosen, ["key", "class"]).withColumn("copies", copies().cast("int"))
     rows = repeated.select(*at.values(), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
     return rows.select([F.col(at[c]).alias(c) for c in docs.columns])
 
@@ -158,7 +193,7 @@ def mix_sql(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: floa
 WITH r AS (
   SELECT doc_id, source,
     CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
-    CAST('0x' || substr(md5(doc_id::VARCHAR), 1, {_HEX_DIGITS}) AS BIGINT) AS draw
+    CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'n') || ':' || coalesce(md5(text), 'n')), 1, {_HEX_DIGITS}) AS BIGINT) AS draw
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
@@ -175,13 +210,34 @@ o AS (
 l AS (SELECT arg_min(level, turn) AS level FROM o WHERE level <= bound),
 t AS (
   SELECT o.source, o.source_size, least(o.cap, o.weight * l.level) AS target FROM o, l),
+c AS (
+  SELECT source, length(bin(size)) AS class, sum(size)::BIGINT AS words FROM r GROUP BY ALL),
+v AS (
+  SELECT c.source, class, words, source_size, target,
+    (target - {float(most)} * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY class DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / nullif(sum(class * words) OVER (PARTITION BY c.source ORDER BY class DESC
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least({float(most)}, class * coalesce(
+    arg_max(level, class) FILTER (WHERE class * level <= {float(most)}) OVER (PARTITION BY source), {float(most)}))
+    ELSE 0 END AS copies
+  FROM v),
 n AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+  SELECT *, floor(copies) AS whole, copies - floor(copies) AS p,
+    sum((copies - floor(copies)) * words) OVER (PARTITION BY source) AS need
+  FROM e),
+q AS (
+  SELECT r.*, n.source_size, n.target, n.whole, n.need, n.p, (r.draw + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM r JOIN n ON r.source IS NOT DISTINCT FROM n.source AND length(bin(r.size)) = n.class),
 k AS (
-  SELECT r.*, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size AS need,
-    coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.draw, r.doc_id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM r JOIN n ON r.source IS NOT DISTINCT FROM n.source)
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM q),
+m AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, p > 0 ORDER BY odds, draw
+      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through,
+    sum(size) OVER (PARTITION BY source, odds, draw) AS alike
+  FROM k)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN need > 0 AND 2 * before + size <= 2 * need THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM k"""
+  (size * (whole + CASE WHEN p > 0 AND 2 * through - alike <= 2 * need THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM m"""

@@ -1,6 +1,10 @@
 """Operators on whole tables against brute force and their defined cases."""
 
+import hashlib
+import itertools
+import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -160,6 +164,70 @@ def test_mix_equals_sql(docs, rows):
     assert all(abs(sum(t) - target) <= 40 for (_, target), t in by_source.items())
 
 
+def mixed_by_hand(rows):
+    """Copies per row of a plain version of the mix: the sources' targets by stepwise capping, odds in one sorted list."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by_source = {}
+    for i, (_, text, source) in enumerate(rows):
+        by_source.setdefault(source, []).append((i, size(text)))
+
+    def filled(caps, weights, whole):
+        free, got = set(caps), {}
+        while free:
+            level = max(whole - sum(got.values()), 0) / (sum(weights[k] for k in free) or 1)
+            over = {k for k in free if weights[k] * level > caps[k]}
+            for k in over or free:
+                got[k] = caps[k] if over else weights[k] * level
+            free -= over or set(free)
+        return got
+
+    sizes = {s: sum(n for _, n in own) for s, own in by_source.items()}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    targets = filled({s: 2 * sizes[s] for s in sizes}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, 1.5 * sum(sizes.values()))
+    taken, draws = {}, []
+    for s, own in by_source.items():
+        words = {}
+        for _, n in own:
+            words[len(f"{n:b}")] = words.get(len(f"{n:b}"), 0) + n
+        shares = filled({k: 2 * w for k, w in words.items()}, {k: k * w for k, w in words.items()}, targets[s])
+        p, ranked = {}, []
+        for i, n in own:
+            copies = shares[len(f"{n:b}")] / words[len(f"{n:b}")] if words[len(f"{n:b}")] else 0
+            taken[i], p[i] = math.floor(copies), copies - math.floor(copies)
+            doc, text, _ = rows[i]
+            text = "n" if text is None else hashlib.md5(text.encode()).hexdigest()
+            digest = hashlib.md5(f"{'n' if doc is None else doc}:{text}".encode()).hexdigest()
+            u = (int(digest[:13], 16) + 0.5) / 2**52
+            if p[i] > 0:
+                ranked.append((u / (1 - u) / (p[i] / (1 - p[i])), u, i, n))
+        ranked.sort()
+        draws.append([u for _, u, _, _ in ranked])
+        need, before = sum(p[i] * n for i, n in own), 0
+        for _, same in itertools.groupby(ranked, key=lambda r: r[:2]):
+            same = list(same)
+            alike = sum(n for *_, n in same)
+            if 2 * before + alike <= 2 * need:
+                for _, _, i, _ in same:
+                    taken[i] += 1
+            before += alike
+    return taken, targets, draws
+
+
+@pytest.mark.parametrize("bucket_rows", [7, 10_000])
+def test_mix_by_hand_with_unequal_probabilities(monkeypatch, spark, rows, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rnd = random.Random(2)
+    long = [(2000 + i, " ".join(["w"] * int(rnd.paretovariate(0.7)) + [str(i)]), f"s{i % 3}") for i in range(200)]
+    many = [*rows, *long, *[(None, f"text {'x ' * i}", "s1") for i in range(40)], *[(5, f"other {i}", "s2") for i in range(40)]]
+    many += [(9000, "", "nothing but spaces"), (9001, None, "nothing but spaces"), *[(None, None, None)] * 3, *[(77, "the same row", "s1")] * 9]
+    taken, targets, draws = mixed_by_hand(many)
+    found = mixing.mix(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()
+    size = lambda t: len((t or "").split())
+    expected = sorted((str(d), size(t), round(targets[s], 6), taken[i] * size(t)) for i, (d, t, s) in enumerate(many))
+    assert sorted((str(r.doc_id), r.size, round(r.target, 6), r.taken) for r in found) == expected
+    assert any(own != sorted(own) for own in draws)
+
+
 def test_mixed_rows(docs):
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.size}
     mixed = mixing.mixed(docs)
