@@ -9,10 +9,13 @@ dictionary minus its length under the toxic one. A logistic curve, fitted on
 labelled texts that trained neither dictionary, turns a text's gains into a
 score from 0 to 1.
 
+A dictionary trained on the windows of toxic text themselves, as the plain method
+has it, tells almost nothing apart (README has the figures): a few words in a text
+of ordinary prose make it toxic, and the prose fills the dictionary.
+
 Training reads a bounded sample: at most ``SAMPLE`` labelled texts of each
-class, chosen by a hash of their id, and of a text of more than
-``SAMPLE_WINDOWS`` windows that many spread evenly. Scoring reads every whole
-text and uses nothing but the text.
+class, chosen by a hash of their id, whole. Scoring reads every whole text and
+uses nothing but the text.
 
 Defined cases: null or empty text has one empty window and the score of no
 gain; without labels of both classes all scores are the share of toxic labels
@@ -35,7 +38,6 @@ from pyspark.sql import functions as F
 from redpen.llm.tables import filter_slices, map_slices
 
 SAMPLE = 3000
-SAMPLE_WINDOWS = 64
 WINDOW_CHARS = 240
 DICTIONARY_BYTES = 64 * 1024
 #: A sign of toxic text: this many times the ordinary share of contexts, and a chance below this one of so
@@ -67,10 +69,6 @@ def windows(text: str | None) -> list[bytes]:
     return made
 
 
-def _spread(items: list, most: int) -> list:
-    return items if len(items) <= most else [items[len(items) * i // most] for i in range(most)]
-
-
 def _signs(texts: list[list[bytes]]) -> tuple[Counter, int]:
     """In how many different contexts each word, and each beginning of a word, occurs, and the number of all.
 
@@ -90,7 +88,7 @@ def _signs(texts: list[list[bytes]]) -> tuple[Counter, int]:
     signs: Counter = Counter()
     for word, n in counts.items():
         for length in {*BEGINNINGS, len(word)}:
-            if BEGINNINGS[0] <= length <= len(word):
+            if length <= len(word):
                 signs[word[:length]] += n
     return signs, len(seen)
 
@@ -214,6 +212,10 @@ class Model:
     spread: np.ndarray
     weights: np.ndarray
 
+    def plain(self) -> tuple:
+        """Bytes and arrays only: a broadcast of them needs no class of this package to be read."""
+        return self.common, self.toxic, self.mean, self.spread, self.weights
+
     def scorer(self):
         if not len(self.mean):
             return lambda text: float(self.weights[0])
@@ -242,7 +244,7 @@ def fit(rows: list[tuple[int, str | None, int]], numbers: dict[int, int] | None
     x = np.zeros((len(cut), len(features(np.zeros(1)))))
 
     def trained(chosen: np.ndarray) -> tuple[bytes, bytes]:
-        parts = [[_spread(p, SAMPLE_WINDOWS) for (_, p, label), c in zip(cut, chosen) if c and label == y] for y in (1, 0)]
+        parts = [[p for (_, p, label), c in zip(cut, chosen) if c and label == y] for y in (1, 0)]
         return dictionaries(*parts)
 
     for fold in range(3):
@@ -267,24 +269,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     listed = spark.createDataFrame(list(chosen.items()) or [(0, 0)], "chosen long, toxic int").where(F.lit(bool(chosen)))
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = own.join(F.broadcast(listed), F.col("id") == F.col("chosen"))
-
-    def make():
-        def run(ids, texts, toxic):
-            cut = [b"".join(_spread(windows(t.as_py()), SAMPLE_WINDOWS)).decode() for t in texts]
-            yield {"id": ids, "text": [c.replace(_MARK, " ") for c in cut], "toxic": toxic}
-
-        return run
-
-    found = map_slices(rows, ["id", "text", "toxic"], make, "id long, text string, toxic int").dropDuplicates(["id"])
+    found = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     return fit([(r.id, r.text, r.toxic) for r in found.collect()], numbers)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, score and predicted of every row's whole text. Narrow."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def make():
-        scorer = shared.value.scorer()
+        scorer = Model(*shared.value).scorer()
 
         def run(keys, texts):
             scores = [scorer(value.as_py()) for value in texts]
@@ -298,10 +292,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows scored below one half, with all their columns. Narrow."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def make():
-        scorer = shared.value.scorer()
+        scorer = Model(*shared.value).scorer()
         return lambda texts: [scorer(value.as_py()) < 0.5 for value in texts]
 
     return filter_slices(docs, text, make)

@@ -267,3 +267,32 @@ def test_held_out_rows_train_nothing(spark, labelled):
     flipped = df.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
     a, b = (toxicity.train(df, x) for x in (df, flipped))
     assert a.weights.tolist() == b.weights.tolist() and a.toxic == b.toxic
+
+
+def test_toxicity_defined_cases(spark, labelled):
+    rows = [(i, text, "clash", 7) for i, text, _ in labelled[:120]] + [(500, None, "clash", 7), (501, "", "clash", 7)]
+    rows += [(5, "another text under the same id", "clash", 7), (None, "no id", "clash", 7), (600, labelled[0][1] * 300, "clash", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, toxic int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in labelled[:120]] + [(0, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs, model).collect()
+    score = model.scorer()
+    assert sorted((str(r.doc_id), r.score) for r in found) == sorted((str(i), score(text)) for i, text, *_ in rows)
+    assert all(r.predicted == (r.score >= 0.5) for r in found)
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in found)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    nothing = toxicity.train(docs, labels.limit(0))
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
+
+
+def test_toxicity_learns_words_of_two_characters():
+    """Of two bytes or three a match saves too little to tell; two characters of six bytes are enough."""
+    rnd, rows = random.Random(4), []
+    for i in range(400):
+        words = ["".join(rnd.choice("anerthiost") for _ in range(rnd.randrange(2, 8))) for _ in range(rnd.randrange(30, 200))]
+        for _ in range(4 * (i % 4 == 0)):
+            words.insert(rnd.randrange(len(words)), "漢字")
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    score = toxicity.fit(rows[:320]).scorer()
+    assert sum((score(text) >= 0.5) == bool(y) for _, text, y in rows[320:]) >= 76
