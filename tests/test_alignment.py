@@ -69,3 +69,24 @@ def test_empty_batch_and_unknown_merge():
     assert spans([([], [])], "all-merge") == [[]]
     with pytest.raises(ValueError):
         spans([(["a"], ["b"])], "other")
+
+
+@pytest.mark.parametrize("budget", [8 << 20, 60, 1])
+def test_texts_are_aligned_in_parts_as_their_trimmed_tokens(monkeypatch, budget):
+    monkeypatch.setattr(A, "TEXT_BUDGET", budget)
+    gaps = [" ", "  ", "\t", "　 "]
+    rng = random.Random(5)
+    text = lambda tokens: None if not tokens and rng.random() < 0.5 else "".join(rng.choice(gaps) + t for t in tokens) + rng.choice(gaps)
+    pairs = list(random_pairs(4))
+    sides = [pa.array([text(p[k]) for p in pairs], pa.string()) for k in (0, 1)]
+    found = A.text_spans(*sides, lambda *lists: A.edit_spans(*lists, "all-split")).to_pylist()
+    for (a, b), got in zip(pairs, found):
+        lead = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        rest = a[lead:], b[lead:]
+        tail = next((k for k, (x, y) in enumerate(zip(*(r[::-1] for r in rest))) if x != y), min(map(len, rest)))
+        (expected,) = spans([tuple(r[: len(r) - tail] for r in rest)], "all-split")
+        moved = [{k: v + lead if isinstance(v, int) else v for k, v in e.items()} for e in expected]
+        assert got == moved
+    assert len(found) == len(pairs)
+    none = pa.array([], pa.string())
+    assert A.text_spans(none, none, lambda *lists: A.edit_spans(*lists, "all-merge")).to_pylist() == []

@@ -122,3 +122,19 @@ def test_single_span_of_null_text(spark):
     rows = [(1, "a b", None), (2, None, "c"), (3, None, None), (4, None, "")]
     found = E.single_span(spark.createDataFrame(rows, "sent_id int, original string, corrected string")).collect()
     assert sorted(tuple(r) for r in found) == [(1, 0, 2, "a b", ""), (2, 0, 0, "", "c")]
+
+
+def test_texts_are_split_and_trimmed_in_the_batch_function(spark):
+    pairs = spark.createDataFrame([(1, " a b\tc ", "a x c"), (2, None, "new"), (3, "", None)], "sent_id long, original string, corrected string")
+    rows = E.align(pairs)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "zip_with" not in plan
+    got = {r.sent_id: [(e.o_start, e.o_end, e.o_str, e.c_str) for e in r.spans] for r in rows.collect()}
+    assert got == {1: [(1, 2, "b", "x")], 2: [(0, 0, "", "new")], 3: []}
+
+
+def test_rules_split_and_lower_each_side_once(spark):
+    edits = spark.createDataFrame([("Cat dog", "dog cat")], "o_str string, c_str string")
+    row = edits.select(C.category_rules(F.col("o_str"), F.col("c_str"), F.lit(True)).alias("category"))
+    assert row._jdf.queryExecution().analyzed().toString().count("lower(") == 2
+    assert row.first().category == "WO"
