@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,9 +31,9 @@ from redpen.llm.tables import map_slices
 #: Code points of the 256 byte values: letters only, no white space or control characters.
 BYTE_BASE = 0x100
 #: Pre-tokens remembered per task; the table starts afresh when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Characters of text encoded together, and put into one output batch.
-SLICE_CHARACTERS = 2_000_000
+SLICE_CHARACTERS = 500_000
 
 _TO_CHARACTERS = {b: chr(BYTE_BASE + b) for b in range(256)}
 
@@ -136,32 +137,53 @@ class Encoder:
         return [next(merged) if rank is None else [rank] for rank in whole]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids array<int>`` of every row's whole text. Narrow: no shuffle."""
-    ranks = read_ranks(ranks_path)
+def _share_encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Callable[[], Encoder]:
+    """Gives the encoder inside a task."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((ranks, sentencepiece_model(ranks), {}))  # fixed size: the vocabulary
 
-    def make():
+    def encoder() -> Encoder:
         # A reused worker keeps its copy of the broadcast, and with it what its encoder has learned.
         ranks, model, own = shared.value
         if pattern not in own:
             own[pattern] = Encoder(ranks, model, pattern)
-        encoder = own[pattern]
+        return own[pattern]
 
-        def run(keys, texts):
-            start, held, size = 0, [], 0
-            for row, value in enumerate(texts, 1):
-                held.append(value.as_py() or "")
-                size += len(held[-1])
-                if size >= SLICE_CHARACTERS or row == len(texts):
-                    ids, counts = encoder.ids(held)
-                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                    yield {key: keys.slice(start, row - start), "ids": lists}
-                    start, held, size = row, [], 0
+    return encoder
 
-        return run
+
+def _encoded(encoder: Encoder, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Keys and ids, by slices of at least ``SLICE_CHARACTERS`` characters."""
+    start, held, size = 0, [], 0
+    for row, value in enumerate(texts, 1):
+        held.append(value.as_py() or "")
+        size += len(held[-1])
+        if size >= SLICE_CHARACTERS or row == len(texts):
+            ids, counts = encoder.ids(held)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield keys.slice(start, row - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+            start, held, size = row, [], 0
+
+
+def _decoded(table: list[bytes], lists: pa.ListArray) -> list[bytes]:
+    piece = table.__getitem__
+    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), [0]
+    for one in pc.list_value_length(lists).fill_null(0).to_pylist():
+        offsets.append(offsets[-1] + one)
+    return [b"".join(map(piece, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
+
+
+def _by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    return [token for token, _ in sorted(ranks.items(), key=lambda item: item[1])]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``ids array<int>`` of every row's whole text. Narrow: no shuffle."""
+    shared = _share_encoder(docs, read_ranks(ranks_path), pattern)
+
+    def make():
+        encoder = shared()
+        return lambda keys, texts: ({key: k, "ids": ids} for k, ids in _encoded(encoder, keys, texts))
 
     kind = docs.schema[key].dataType.simpleString()
     return map_slices(docs, [key, text], make, f"`{key}` {kind}, ids array<int>")
@@ -169,31 +191,38 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
 def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key``, the ids and ``decoded binary``: the ids' bytes, joined. Null ids decode to no bytes."""
+    shared = tokens.sparkSession.sparkContext.broadcast(_by_rank(read_ranks(ranks_path)))
+
+    def make():
+        return lambda keys, lists: [{key: keys, "ids": lists, "decoded": _decoded(shared.value, lists)}]
+
+    kind = tokens.schema[key].dataType.simpleString()
+    renamed = tokens.withColumnRenamed(ids, "ids")
+    return map_slices(renamed, [key, "ids"], make, f"`{key}` {kind}, ids array<int>, decoded binary", rows=128)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass: a task holds one Python process, and ids do not travel between two."""
     ranks = read_ranks(ranks_path)
-    table = [token for token, _ in sorted(ranks.items(), key=lambda item: item[1])]
-    shared = tokens.sparkSession.sparkContext.broadcast(table)
+    shared = _share_encoder(docs, ranks, pattern)
+    table = docs.sparkSession.sparkContext.broadcast(_by_rank(ranks))
 
     def make():
-        piece = shared.value.__getitem__
+        encoder = shared()
 
-        def run(keys, lists):
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), [0]
-            for one in pc.list_value_length(lists).fill_null(0).to_pylist():
-                offsets.append(offsets[-1] + one)
-            made = [b"".join(map(piece, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
-            yield {key: keys, "ids": lists, "decoded": made}
+        def run(keys, texts):
+            for k, ids in _encoded(encoder, keys, texts):
+                yield {key: k, "ids": ids, "decoded": _decoded(table.value, ids)}
 
         return run
 
-    kind = tokens.schema[key].dataType.simpleString()
-    renamed = tokens.withColumnRenamed(ids, "ids")
-    return map_slices(renamed, [key, "ids"], make, f"`{key}` {kind}, ids array<int>, decoded binary", rows=128)
+    kind = docs.schema[key].dataType.simpleString()
+    return map_slices(docs, [key, text], make, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: number of ids, hash of the ids in decimal, hash of the decoded bytes."""
-    round_trip = decode(encode(docs, ranks_path, pattern), ranks_path)
-    return round_trip.select(
+    return round_trip(docs, ranks_path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -42,6 +42,15 @@ def test_bpe_equals_the_public_library(docs):
         assert found[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_bpe_round_trip_is_one_pass(docs, monkeypatch):
+    pattern = public_tokenizers.PATTERN
+    plan = bpe.digests(docs, PATH, pattern)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    monkeypatch.setattr(bpe, "SLICE_CHARACTERS", 40)
+    once, apart = bpe.round_trip(docs, PATH, pattern), bpe.decode(bpe.encode(docs, PATH, pattern), PATH)
+    assert by_id(once) == by_id(apart)
+
+
 def test_bpe_of_no_rows(docs):
     assert bpe.digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
