@@ -90,3 +90,20 @@ def test_texts_are_aligned_in_parts_as_their_trimmed_tokens(monkeypatch, budget)
     assert len(found) == len(pairs)
     none = pa.array([], pa.string())
     assert A.text_spans(none, none, lambda *lists: A.edit_spans(*lists, "all-merge")).to_pylist() == []
+
+
+def test_thin_bands_give_the_same_operations_and_only_too_narrow_ones_are_solved_again(monkeypatch):
+    draw = random.Random(5)
+    words = lambda n: [str(draw.randrange(4)) for _ in range(n)]
+    originals = [words(draw.randrange(60)) for _ in range(200)]
+    corrected = [[w for w in words_ if draw.random() > 0.2] + words(draw.randrange(8)) for words_ in originals]
+    # One pair that no thin band holds, beside many that the first band does.
+    originals.append(words(60))
+    corrected.append(["x"] * 60)
+    sides = [pa.array(x, pa.list_(pa.string())) for x in (originals, corrected)]
+    solved, thin = [], A._align_thin
+    monkeypatch.setattr(A, "_align_thin", lambda o, c, n, m, k: solved.append(len(n)) or thin(o, c, n, m, k))
+    by_thin = A.edit_spans(*sides, "all-split")
+    assert 0 < sum(solved) < 2 * len(originals)
+    monkeypatch.setattr(A, "THIN", 0)
+    assert by_thin.equals(A.edit_spans(*sides, "all-split"))
