@@ -57,10 +57,10 @@ def test_narrow_bands_give_what_the_whole_matrix_gives(monkeypatch, seed):
     solve = L._align_chunk
     monkeypatch.setattr(L, "_align_chunk", lambda *x: tried.append(x[5]) or solve(*x))
     # No guess, and then a band that holds every cell.
-    monkeypatch.setattr(L, "_unshared", lambda low, o_off, c_off: np.zeros(len(o_off) - 1, np.int64))
+    monkeypatch.setattr(L, "_unshared", lambda low, o_off, c_off: (np.zeros(len(o_off) - 1, np.int64),) * 2)
     again = L.align(*columns(pairs))
     least = max(tried)
-    monkeypatch.setattr(L, "_unshared", lambda low, o_off, c_off: np.full(len(o_off) - 1, 1000))
+    monkeypatch.setattr(L, "_ladder", lambda width: width + 400)
     whole = L.align(*columns(pairs))
     assert max(tried) > 300 > least
     for found in (narrow, again):
